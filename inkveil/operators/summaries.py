@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from inkveil.functions.validators import suspect_reason
 
@@ -39,15 +39,15 @@ def run_summary(annotated: DataFrame, categories: Sequence[str]) -> DataFrame:
     The counts per category are sums over the array of the row, so neither an
     explode nor a join of two aggregates is needed.
     """
-    per_type = [
-        F.sum(F.size(F.filter("entities", lambda e, c=category: e["entity_type"] == c))).alias(category)
-        for category in categories
-    ]
+
+    def found(category: str) -> Column:
+        return F.sum(F.size(F.filter("entities", lambda e: e["entity_type"] == category))).alias(category)
+
     totals = annotated.agg(
         F.count(F.lit(1)).alias("total_paragraphs"),
         F.count_if(F.size("entities") > 0).alias("paragraphs_modified"),
         F.sum(F.size("entities")).alias("total_entities_found"),
-        *per_type,
+        *[found(category) for category in categories],
     )
     pairs = [part for category in categories for part in (F.lit(category), F.col(category))]
     return totals.select(

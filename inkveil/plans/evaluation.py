@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from inkveil.operators import evaluate as ev
 from inkveil.operators.detect import detect
@@ -32,7 +32,10 @@ def evaluate(sentences: DataFrame, strict: bool = True, **detection) -> Evaluati
     """
     scored = detect(ev.resolve_gold(sentences, strict).drop("entities"), **detection)
     flags = scored.select((F.size("gold") > 0).alias("has_gold"), (F.size("entities") > 0).alias("has_detection"))
-    place = lambda s, category: F.struct(s["start"], s["end"], s[category])
+
+    def place(s: Column, category: str) -> Column:
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s[category].alias("category"))
+
     gold_places = F.transform("gold", lambda g: place(g, "category"))
     found_places = F.transform("entities", lambda e: place(e, "entity_type"))
     wrong = F.filter("entities", lambda e: ~F.array_contains("gold_places", place(e, "entity_type")))

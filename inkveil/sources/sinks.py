@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Sequence
 from functools import cache
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkveil.functions import fixed_values as fixed
 from inkveil.functions.columns import quote
@@ -18,21 +18,24 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="inkveil-")
 
 
-def written_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back, so that several outputs share one run.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which executors share.
 
-    The folder is below ``spark.checkpoint.dir``, which executors share; only
-    a local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = _local_folder()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back, so that several outputs share one run."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def redaction_log(annotated: DataFrame, keys: Sequence[str], hash_originals_with: str | None = None) -> DataFrame:
