@@ -947,7 +947,7 @@ def _(spark, sf_dir):
     item = lambda section, name, value: F.struct(
         F.lit(section).alias("section"), name.alias("name"), value.cast("double").alias("value")
     )
-    report = evaluate(sentences(spark, sf_dir)).report()
+    report = evaluate(sentences(spark, sf_dir), stage=True).report()
     rows = F.concat(
         F.array(
             item("corpus", F.lit("total_sentences"), F.col("corpus.total_sentences")),

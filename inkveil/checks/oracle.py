@@ -136,7 +136,9 @@ TWINS = {
         f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}", validated=True,
     ),
     "birth_date": Twin(
-        "DATE_OF_BIRTH", 0.88, rf"{D}{{4}}", f"NOT {PREV_WORD}",
+        "DATE_OF_BIRTH", 0.88,
+        rf"(?i){D}[/\-.]{D}{{1,2}}[/\-.]{D}|{_MONTH}[{S},]+{D}|{D}{SP}+{_MONTH}|{D}{{2}}-[a-z]{{3}}-{D}{{4}}",
+        f"NOT {PREV_WORD}",
         at(
             rf"({D}{{1,2}}[/\-.]{D}{{1,2}}[/\-.]{D}{{4}}|{D}{{4}}[/\-.]{D}{{1,2}}[/\-.]{D}{{1,2}}"
             rf"|{_MONTH}[{S},]+{D}{{1,2}}[{S},]+{D}{{4}}|{D}{{1,2}}{SP}+{_MONTH}[{S},]+{D}{{4}}"
@@ -163,7 +165,8 @@ TWINS = {
     ),
     "street": Twin(
         "ADDRESS", 0.60,
-        rf"(?i)Floor|Plot|Survey|Khasra|Gat|House|Flat|Shop|Unit|Wing|Sector|Phase|Block|{fixed.STREET_ENDING}",
+        rf"(?i)[A-Z{D}]{SP}+Floor|(?:^|[^{W}])(?:Floor{SP}|(?:Plot|Survey|Khasra|Gat|House|Flat|Shop|Unit|Sector|Phase|Block))"
+        rf"|[A-Z{D}]{SP}*[\-–]?{SP}*Wing{END}|[{W}.{S}]{_ROADS}{END}",
         f"NOT {PREV_WORD}",
         first_of(
             at(rf"({D}{{1,2}}(?:st|nd|rd|th)?{SP}+Floor|[A-Z{D}]+{SP}+Floor|Floor{SP}+[A-Z{D}]+)"),

@@ -23,6 +23,24 @@ def find_all(text: str, pattern: str) -> str:
     return f"regexp_extract_all({text}, {quote(pattern)}, 0)"
 
 
+# Stands between pieces while a text is cut; no assigned character.
+CUT = "\uffff"
+
+
+def pieces_between(text: str, pattern: str) -> str:
+    """The text between the matches of ``pattern``, as an array.
+
+    ``split`` compiles its pattern anew for every row, while
+    ``regexp_replace`` keeps it and splitting at one plain character needs
+    none.  A text that holds the cut character itself takes the slow way.
+    """
+    cut = quote(CUT)
+    return (
+        f"CASE WHEN contains({text}, {cut}) THEN split({text}, {quote(pattern)}, -1)"
+        f" ELSE split(regexp_replace({text}, {quote(pattern)}, {cut}), {cut}, -1) END"
+    )
+
+
 def locate_all(text: str, pattern: str, found: str) -> str:
     """Offsets for ``found = find_all(text, pattern)``.
 
@@ -31,7 +49,7 @@ def locate_all(text: str, pattern: str, found: str) -> str:
     the matched string instead would also hit look-alikes that a
     look-around rejected.
     """
-    gaps = f"slice(split({text}, {quote(pattern)}, -1), 1, size({found}))"
+    gaps = f"slice({pieces_between(text, pattern)}, 1, size({found}))"
     acc, gap, value, piece, done = (fresh(s) for s in ("acc", "gap", "value", "piece", "done"))
     pieces = f"zip_with({gaps}, {found}, ({gap}, {value}) -> struct(length({gap}) AS gap, {value} AS value))"
     begin = f"{acc}.at + {piece}.gap"
@@ -48,18 +66,22 @@ def contains_any(lowered: str, words: Sequence[str]) -> str:
     return "(" + " OR ".join(f"contains({lowered}, {quote(w)})" for w in words) + ")"
 
 
-def has_context(text: str, start: str, words: Sequence[str]) -> str:
-    """A context word is part of one of the last tokens before ``start`` or of
-    the first content token from ``start`` on.
+def words_around(text: str, start: str) -> str:
+    """The last tokens before ``start`` and the first content token from
+    ``start`` on, lower-case and joined by blanks.
 
-    Tokens hold no blanks, so words with blanks can never hit; they are left
-    out of the test.
+    A context word hits when it is part of a token.  Tokens hold no blanks,
+    so searching the joined words is the same, and context words with blanks
+    can never hit.
     """
-    single = "|".join(w for w in words if " " not in w)
     reach, keep = fixed.CONTEXT_REACH, fixed.CONTEXT_TOKENS_BEFORE
     first = f"greatest({start} - {reach}, 0)"
     before = find_all(f"lower(substring({text}, {first} + 1, {start} - {first}))", WORD)
     nearest = let(before, lambda b: f"slice({b}, greatest(size({b}) - {keep - 1}, 1), {keep})")
     after = find_all(f"lower(substring({text}, {start} + 1, {reach}))", WORD)
     content = each(after, lambda w: f"{w} NOT IN ({quotes(fixed.STOP_WORDS)})", "filter")
-    return f"array_join(concat({nearest}, slice({content}, 1, 1)), ' ') RLIKE {quote(single)}"
+    return f"array_join(concat({nearest}, slice({content}, 1, 1)), ' ')"
+
+
+def context_pattern(words: Sequence[str]) -> str:
+    return "|".join(w for w in words if " " not in w)

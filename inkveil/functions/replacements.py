@@ -141,14 +141,11 @@ def replacement(
     return let(digest(entity_type, original, salt), by_category, "hashed")
 
 
-REPLACED = "struct<entity_type:string,original_text:string,start:int,end:int,score:double,replacement:string>"
-
-
 def with_replacements(entities: str, **options) -> str:
     """Entities with their replacement as a sixth field."""
     return each(
         entities,
-        lambda e: f"CAST(named_struct('entity_type', {e}.entity_type, 'original_text', {e}.original_text,"
+        lambda e: f"named_struct('entity_type', {e}.entity_type, 'original_text', {e}.original_text,"
         f" 'start', {e}.start, 'end', {e}.`end`, 'score', {e}.score, 'replacement',"
-        f" {replacement(f'{e}.entity_type', f'{e}.original_text', **options)}) AS {REPLACED})",
+        f" {replacement(f'{e}.entity_type', f'{e}.original_text', **options)})",
     )

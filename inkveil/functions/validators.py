@@ -28,7 +28,7 @@ def valid_card(value: str) -> str:
 def valid_ipv4(value: str) -> str:
     """Four dot-joined numbers, none above 255; leading zeros are accepted."""
     return let(
-        f"split(trim({value}), '[.]', -1)",
+        f"split(trim({value}), {quote('\\.')}, -1)",
         lambda parts: f"(size({parts}) = 4 AND "
         + each(parts, lambda p: f"coalesce(try_cast({p} AS INT) BETWEEN 0 AND 255, false)", "forall")
         + ")",

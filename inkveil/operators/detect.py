@@ -39,8 +39,8 @@ def rename_labels(spans: str, labels: Mapping[str, str] | None = None) -> str:
 
 def _span(entity_type: str, s: str) -> str:
     return (
-        f"CAST(named_struct('entity_type', {entity_type}, 'original_text', {s}.original_text,"
-        f" 'start', {s}.start, 'end', {s}.`end`, 'score', {s}.score) AS {SPAN})"
+        f"named_struct('entity_type', {entity_type}, 'original_text', {s}.original_text,"
+        f" 'start', {s}.start, 'end', {s}.`end`, 'score', {s}.score)"
     )
 
 
@@ -69,8 +69,8 @@ def in_reading_order(spans: str) -> str:
     )
     return each(
         f"array_sort({keyed})",
-        lambda k: f"CAST(named_struct('entity_type', {k}.entity_type, 'original_text', {k}.original_text,"
-        f" 'start', {k}.start, 'end', -{k}.shorter, 'score', -{k}.worse) AS {SPAN})",
+        lambda k: f"named_struct('entity_type', {k}.entity_type, 'original_text', {k}.original_text,"
+        f" 'start', {k}.start, 'end', -{k}.shorter, 'score', -{k}.worse)",
     )
 
 

@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from itertools import groupby
 
 from inkveil.functions import fixed_values as fixed, validators
-from inkveil.functions.columns import NO_SPANS, SPAN, each, let, quote
-from inkveil.functions.matching import ODD_CASE_LETTERS, contains_any, dialect, find_all, has_context, locate_all
+from inkveil.functions.columns import NO_SPANS, each, let, quote, quotes
+from inkveil.functions.matching import (
+    ODD_CASE_LETTERS, contains_any, context_pattern, dialect, find_all, locate_all, words_around,
+)
 
 
 @dataclass(frozen=True)
@@ -37,8 +39,10 @@ class Rule:
     confirm: str = ""
 
     def spans(self, text: str) -> str:
-        """SQL for this rule's spans in ``text``; entity_type is the label."""
+        """SQL for this rule's spans in ``text``; entity_type is the rule's
+        name until ``spans_of`` has weighed the context."""
         pattern = dialect(self.pattern)
+        score = fixed.VALIDATED_SCORE if self.validate else self.score
 
         def to_spans(found: str) -> str:
             matches = locate_all(text, pattern, found)
@@ -50,7 +54,11 @@ class Rule:
                     lambda m: self.confirm.format(text=text, start=f"{m}.start", end=f"{m}.`end`"),
                     "filter",
                 )
-            return each(matches, lambda m: self._span(text, m))
+            return each(
+                matches,
+                lambda m: f"named_struct('entity_type', {quote(self.name)}, 'original_text', {m}.value,"
+                f" 'start', {m}.start, 'end', {m}.`end`, 'score', {float(score)}D)",
+            )
 
         return let(
             find_all(text, pattern),
@@ -58,20 +66,49 @@ class Rule:
             "found",
         )
 
-    def _span(self, text: str, match: str) -> str:
-        base = fixed.VALIDATED_SCORE if self.validate else self.score
-        score = f"{base}D"
-        if self.context and base < 1.0:
-            boosted = min(1.0, round(base + fixed.CONTEXT_BOOST, 4))
-            score = f"CASE WHEN {has_context(text, f'{match}.start', self.context)} THEN {boosted}D ELSE {base}D END"
+
+def _labelled(text: str, spans: str, rules: Sequence[Rule]) -> str:
+    """Turn rule names into labels and raise scores that have context.
+
+    One expression for all rules: the words around a span are the same
+    whichever rule found it.
+    """
+    by_label: dict[str, list[str]] = {}
+    by_context: dict[str, list[str]] = {}
+    for rule in rules:
+        by_label.setdefault(rule.label, []).append(rule.name)
+        if context_pattern(rule.context) and not rule.validate:
+            by_context.setdefault(context_pattern(rule.context), []).append(rule.name)
+
+    def label(s: str) -> str:
+        cases = " ".join(f"WHEN {s}.entity_type IN ({quotes(n)}) THEN {quote(to)}" for to, n in by_label.items())
+        return f"CASE {cases} END"
+
+    def score(s: str) -> str:
+        if not by_context:
+            return f"{s}.score"
+
+        def hit(around: str) -> str:
+            cases = " ".join(
+                f"WHEN {s}.entity_type IN ({quotes(n)}) THEN {around} RLIKE {quote(p)}" for p, n in by_context.items()
+            )
+            return f"CASE {cases} ELSE false END"
+
+        near = let(words_around(text, f"{s}.start"), hit, "around")
         return (
-            f"CAST(named_struct('entity_type', {quote(self.label)}, 'original_text', {match}.value,"
-            f" 'start', {match}.start, 'end', {match}.`end`, 'score', {score}) AS {SPAN})"
+            f"CASE WHEN {s}.score >= 1.0D THEN {s}.score"
+            f" WHEN {near} THEN least(1.0D, round({s}.score + {fixed.CONTEXT_BOOST}D, 4)) ELSE {s}.score END"
         )
 
+    return each(
+        spans,
+        lambda s: f"named_struct('entity_type', {label(s)}, 'original_text', {s}.original_text,"
+        f" 'start', {s}.start, 'end', {s}.`end`, 'score', {score(s)})",
+    )
+
 
 def spans_of(text: str, rules: Sequence[Rule]) -> str:
-    """SQL for the bag union of all rules' spans.
+    """SQL for the bag union of all rules' spans, as an array of ``SPAN``.
 
     Neighbouring rules with the same gates share one test.
     """
@@ -91,11 +128,16 @@ def spans_of(text: str, rules: Sequence[Rule]) -> str:
             parts.append(f"CASE WHEN {' AND '.join(tests)} THEN {union} ELSE {NO_SPANS} END" if tests else union)
         return f"concat({', '.join(parts)})"
 
-    return let(
+    union = let(
         f"lower({text})",
         lambda lowered: let(contains_any(text, ODD_CASE_LETTERS), lambda odd: guarded(lowered, odd), "odd"),
         "lowered",
     )
+    return let(
+        union,
+        lambda u: f"CASE WHEN size({u}) > 0 THEN {_labelled(text, u, rules)} ELSE {NO_SPANS} END",
+        "union",
+    )
 
 
 _VALUE, _TEXT, _START, _END = "{value}", "{text}", "{start}", "{end}"

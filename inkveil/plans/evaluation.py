@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from inkveil.operators import evaluate as ev
 from inkveil.operators.detect import detect
-from inkveil.sources.sinks import report_row
+from inkveil.sources.sinks import report_row, written_table
 
 
 @dataclass(frozen=True)
@@ -23,14 +23,17 @@ class Evaluation:
         return report_row(self.corpus, self.sentence, self.spans, self.false_positives, self.false_negatives)
 
 
-def evaluate(sentences: DataFrame, strict: bool = True, **detection) -> Evaluation:
+def evaluate(sentences: DataFrame, strict: bool = True, stage: bool = False, **detection) -> Evaluation:
     """Score the detector on ``sentences(sent_id, text, entities)``, where
     ``entities`` lists the labelled (entity_text, category) pairs.
 
     Everything is computed inside the sentence's own row; only counts of nine
-    categories and the first errors leave their task.
+    categories and the first errors leave their task.  With ``stage`` the
+    scored sentences are written once and all five results read them.
     """
     scored = detect(ev.resolve_gold(sentences, strict).drop("entities"), **detection)
+    if stage:
+        scored = written_table(scored, "scored")
     flags = scored.select((F.size("gold") > 0).alias("has_gold"), (F.size("entities") > 0).alias("has_detection"))
 
     def place(s: Column, category: str) -> Column:
