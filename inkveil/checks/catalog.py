@@ -276,11 +276,9 @@ def _(spark, sf_dir):
 
 @register("D18_dictionary_join", _DICTIONARY_SQL)
 def _(spark, sf_dir):
-    """The way of a dictionary too large to broadcast."""
-    notes = travel_notes(spark, sf_dir)
+    """The same by the join that larger dictionaries take."""
     phrases = dictionary.normalized(place_names(spark, sf_dir))
-    mentions = dictionary.joined_mentions(notes, phrases, KEYS, "text", small=False)
-    named = notes.join(mentions, KEYS, "left")
+    named = dictionary.joined_mentions(travel_notes(spark, sf_dir), phrases, KEYS)
     return explode_entities(detect(named, rules=[], extra_spans="mentions"), drop=["text", "mentions"])
 
 

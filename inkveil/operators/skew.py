@@ -1,15 +1,32 @@
-"""A join that survives hot keys."""
+"""Joins that survive hot keys."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_KEYS = 1000
 SALTS = 64
 
 
+def _salt(many: DataFrame, keys: Sequence[str], salts: int) -> Column:
+    others = [c for c in many.columns if c not in keys]
+    return F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int") if others else F.lit(0)
+
+
+def spread_join(many: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 16) -> DataFrame:
+    """Inner join to a side that is small beside ``many`` but too large to
+    broadcast: every row of it is repeated once per salt.
+
+    Unlike ``salted_join`` this reads ``many`` once.
+    """
+    keys = list(keys)
+    left = many.withColumn("salt_", _salt(many, keys, salts))
+    right = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "salt_"]).drop("salt_")
+
+
 def salted_join(many: DataFrame, one: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join of ``many`` rows to ``one`` row per key.
 
@@ -29,8 +46,7 @@ def salted_join(many: DataFrame, one: DataFrame, keys: Sequence[str]) -> DataFra
         .limit(HOT_KEYS)
         .select(*keys, F.lit(True).alias("hot_"))
     )
-    others = [c for c in many.columns if c not in keys]
-    spread = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int") if others else F.lit(0)
+    spread = _salt(many, keys, SALTS)
     left = many.join(F.broadcast(hot), keys, "left").withColumn(
         "salt_", F.when(F.col("hot_"), spread).otherwise(F.lit(0))
     )
