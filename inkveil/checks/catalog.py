@@ -14,6 +14,7 @@ from inkveil.checks import oracle as o
 from inkveil.checks.derived import sentences, texts
 from inkveil.checks.oracle_values import CHAINED, REDACTED, VALUES, replaced
 from inkveil.functions import fixed_values as fixed, validators as v
+from inkveil.functions.columns import is_blank, let, segments
 from inkveil.functions.replacements import with_replacements
 from inkveil.operators import dictionary, evaluate as ev, mapping as m, summaries as sm
 from inkveil.operators.detect import (
@@ -320,7 +321,8 @@ def _(spark, sf_dir):
     bare = Rule(plain.name, plain.label, plain.pattern, plain.score, gate=plain.gate)
     rows = texts(spark, sf_dir).select(*KEYS, "text", F.expr(spans_of("text", [bare])).alias("entities"))
     found = explode_entities(rows)
-    return found.select(*PLACE, "original_text", F.expr(v.near_birth_keyword("text", "start", "`end`")).alias("valid"))
+    near = let(segments("text"), lambda parts: v.near_birth_keyword(parts, "start", "`end`"))
+    return found.select(*PLACE, "original_text", F.expr(near).alias("valid"))
 
 
 @register("V5_person_title_words", _unchecked_sql("person_label"))
@@ -346,8 +348,6 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    from inkveil.functions.columns import is_blank
-
     return texts(spark, sf_dir).select(*KEYS, F.expr(is_blank("text")).alias("blank"))
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from inkveil.functions import fixed_values as fixed
-from inkveil.functions.columns import each, fresh, let, quote, quotes
+from inkveil.functions.columns import cut, each, fresh, let, quote, quotes, running
 
-MATCH = "struct<value:string,start:int,end:int>"
 WORD = r"[\p{L}\p{N}_]+"
 # Letters that a case-insensitive match equates with ASCII ones but lower() does not.
 ODD_CASE_LETTERS = ("ſ", "İ", "ı")
@@ -42,32 +41,37 @@ def pieces_between(text: str, pattern: str) -> str:
 
 
 def locate_all(text: str, pattern: str, found: str) -> str:
-    """Offsets for ``found = find_all(text, pattern)``.
+    """``value, start, end`` of each of ``found = find_all(text, pattern)``,
+    which must not be empty.
 
     Splitting on the same pattern yields the text between the matches, so a
     match starts where the lengths of all earlier pieces end.  Searching for
     the matched string instead would also hit look-alikes that a
     look-around rejected.
     """
-    gaps = f"slice({pieces_between(text, pattern)}, 1, size({found}))"
-    acc, gap, value, piece, done = (fresh(s) for s in ("acc", "gap", "value", "piece", "done"))
-    pieces = f"zip_with({gaps}, {found}, ({gap}, {value}) -> struct(length({gap}) AS gap, {value} AS value))"
-    begin = f"{acc}.at + {piece}.gap"
-    finish = f"{begin} + length({piece}.value)"
-    match = f"named_struct('value', {piece}.value, 'start', {begin}, 'end', {finish})"
-    return (
-        f"aggregate({pieces}, named_struct('at', 0, 'out', cast(array() AS array<{MATCH}>)),"
-        f" ({acc}, {piece}) -> named_struct('at', {finish}, 'out', concat({acc}.out, array({match}))),"
-        f" {done} -> {done}.out)"
-    )
+    gap, value, g, i = (fresh(stem) for stem in ("gap", "value", "g", "i"))
+
+    def with_gaps(gaps: str) -> str:
+        lengths = f"zip_with({gaps}, {found}, ({g}, {value}) -> {g} + length({value}))"
+
+        def placed(before: Callable[[str], str]) -> str:
+            def match(start: str) -> str:
+                return f"named_struct('value', {value}, 'start', {start}, 'end', {start} + length({value}))"
+
+            return f"transform({found}, ({value}, {i}) -> {let(f'{before(i)} + {gaps}[{i}]', match, 'start')})"
+
+        return running(lengths, "0", lambda a, x: f"{a} + {x}", placed)
+
+    pieces = f"slice({pieces_between(text, pattern)}, 1, size({found}))"
+    return let(f"transform({pieces}, {gap} -> length({gap}))", with_gaps, "gaps")
 
 
 def contains_any(lowered: str, words: Sequence[str]) -> str:
     return "(" + " OR ".join(f"contains({lowered}, {quote(w)})" for w in words) + ")"
 
 
-def words_around(text: str, start: str) -> str:
-    """The last tokens before ``start`` and the first content token from
+def words_around(parts: str, start: str) -> str:
+    """Of the text with segments ``parts``: the last tokens before ``start`` and the first content token from
     ``start`` on, lower-case and joined by blanks.
 
     A context word hits when it is part of a token.  Tokens hold no blanks,
@@ -76,9 +80,9 @@ def words_around(text: str, start: str) -> str:
     """
     reach, keep = fixed.CONTEXT_REACH, fixed.CONTEXT_TOKENS_BEFORE
     first = f"greatest({start} - {reach}, 0)"
-    before = find_all(f"lower(substring({text}, {first} + 1, {start} - {first}))", WORD)
+    before = find_all(f"lower({cut(parts, first, f'{start} - {first}')})", WORD)
     nearest = let(before, lambda b: f"slice({b}, greatest(size({b}) - {keep - 1}, 1), {keep})")
-    after = find_all(f"lower(substring({text}, {start} + 1, {reach}))", WORD)
+    after = find_all(f"lower({cut(parts, start, str(reach))})", WORD)
     content = each(after, lambda w: f"{w} NOT IN ({quotes(fixed.STOP_WORDS)})", "filter")
     return f"array_join(concat({nearest}, slice({content}, 1, 1)), ' ')"
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from inkveil.functions import fixed_values as fixed
-from inkveil.functions.columns import each, let, quote, quotes
+from inkveil.functions.columns import cut, each, let, quote, quotes
 
 
 def valid_ssn(value: str) -> str:
@@ -45,12 +45,13 @@ def plausible_person(value: str) -> str:
     )
 
 
-def near_birth_keyword(text: str, start: str, end: str) -> str:
-    """A birth keyword stands within reach of the span ``[start, end)``."""
+def near_birth_keyword(parts: str, start: str, end: str) -> str:
+    """A birth keyword stands within reach of the span ``[start, end)`` of the
+    text with segments ``parts``."""
     reach = fixed.BIRTH_KEYWORD_REACH
     keyword = r"(?iU)\b(?:" + "|".join(fixed.BIRTH_KEYWORDS) + r")\b"
     first = f"greatest({start} - {reach}, 0)"
-    return f"substring({text}, {first} + 1, {end} + {reach} - {first}) RLIKE {quote(keyword)}"
+    return f"{cut(parts, first, f'{end} + {reach} - {first}')} RLIKE {quote(keyword)}"
 
 
 def short_acronym(value: str) -> str:

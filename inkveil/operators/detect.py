@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkveil.functions import fixed_values as fixed
-from inkveil.functions.columns import NO_SPANS, SPAN, each, fresh, is_blank, let, quote, quotes
+from inkveil.functions.columns import NO_SPANS, SPAN, each, fresh, is_blank, let, quote, quotes, running
 from inkveil.functions.validators import blocked_value
 from inkveil.operators.rules import Rule, default_rules, spans_of
 
@@ -85,20 +85,26 @@ def keep_earliest(ordered: str) -> str:
 
 
 def overlap_clusters(ordered: str) -> str:
-    """Cut ordered spans into runs that share no character with each other.
+    """Cut ordered spans, at least one, into runs that share no character.
 
     Whatever compares spans pairwise works inside one run, so a text with very
     many spans stays cheap.
     """
-    acc, s, done = fresh("acc"), fresh("s"), fresh("done")
-    return (
-        f"aggregate({ordered}, named_struct('reach', 0, 'runs', cast(array() AS array<array<{SPAN}>>)),"
-        f" ({acc}, {s}) -> named_struct('reach', greatest({acc}.reach, {s}.`end`), 'runs',"
-        f" CASE WHEN size({acc}.runs) = 0 OR {s}.start >= {acc}.reach"
-        f" THEN concat({acc}.runs, array(array({s})))"
-        f" ELSE concat(slice({acc}.runs, 1, size({acc}.runs) - 1),"
-        f" array(concat(element_at({acc}.runs, -1), array({s})))) END), {done} -> {done}.runs)"
-    )
+    x, i, h, k = fresh("x"), fresh("i"), fresh("h"), fresh("k")
+
+    def cut(s: str) -> str:
+        def runs(heads: str) -> str:
+            upto = f"coalesce(get({heads}, {k} + 1), size({s}))"
+            return f"transform({heads}, ({h}, {k}) -> slice({s}, {h} + 1, {upto} - {h}))"
+
+        return running(
+            f"transform({s}, {x} -> {x}.`end`)", "0", lambda a, e: f"greatest({a}, {e})",
+            lambda before: let(
+                f"filter(sequence(0, size({s}) - 1), {i} -> {s}[{i}].start >= {before(i)})", runs, "heads"
+            ),
+        )
+
+    return let(ordered, cut, "ordered")
 
 
 def resolve(spans: str, labels: Mapping[str, str] | None = None) -> str:

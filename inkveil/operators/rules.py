@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from itertools import groupby
 
 from inkveil.functions import fixed_values as fixed, validators
-from inkveil.functions.columns import NO_SPANS, each, let, quote, quotes
+from inkveil.functions.columns import NO_SPANS, each, let, quote, quotes, segments
 from inkveil.functions.matching import (
     ODD_CASE_LETTERS, contains_any, context_pattern, dialect, find_all, locate_all, words_around,
 )
@@ -22,8 +22,9 @@ class Rule:
     ``any_of``    lower-case literals; every text with a match holds one.
     ``gate``      a cheap regex that finds something in every text with a match.
     ``validate``  SQL condition over ``{value}``; a pass sets the score to 1.0.
-    ``confirm``   SQL condition over ``{text}``, ``{start}`` and ``{end}``;
-                  a pass leaves the score alone.
+    ``confirm``   SQL condition over ``{parts}`` (the text's segments, see
+                  ``cut``), ``{start}`` and ``{end}``; a pass leaves the
+                  score alone.
 
     The two gates keep the pattern off the texts that cannot match.
     """
@@ -49,10 +50,15 @@ class Rule:
             if self.validate:
                 matches = each(matches, lambda m: self.validate.format(value=f"{m}.value"), "filter")
             if self.confirm:
-                matches = each(
-                    matches,
-                    lambda m: self.confirm.format(text=text, start=f"{m}.start", end=f"{m}.`end`"),
-                    "filter",
+                unsure = matches
+                matches = let(
+                    segments(text),
+                    lambda parts: each(
+                        unsure,
+                        lambda m: self.confirm.format(parts=parts, start=f"{m}.start", end=f"{m}.`end`"),
+                        "filter",
+                    ),
+                    "parts",
                 )
             return each(
                 matches,
@@ -67,7 +73,7 @@ class Rule:
         )
 
 
-def _labelled(text: str, spans: str, rules: Sequence[Rule]) -> str:
+def _labelled(parts: str, spans: str, rules: Sequence[Rule]) -> str:
     """Turn rule names into labels and raise scores that have context.
 
     One expression for all rules: the words around a span are the same
@@ -94,7 +100,7 @@ def _labelled(text: str, spans: str, rules: Sequence[Rule]) -> str:
             )
             return f"CASE {cases} ELSE false END"
 
-        near = let(words_around(text, f"{s}.start"), hit, "around")
+        near = let(words_around(parts, f"{s}.start"), hit, "around")
         return (
             f"CASE WHEN {s}.score >= 1.0D THEN {s}.score"
             f" WHEN {near} THEN least(1.0D, round({s}.score + {fixed.CONTEXT_BOOST}D, 4)) ELSE {s}.score END"
@@ -135,18 +141,19 @@ def spans_of(text: str, rules: Sequence[Rule]) -> str:
     )
     return let(
         union,
-        lambda u: f"CASE WHEN size({u}) > 0 THEN {_labelled(text, u, rules)} ELSE {NO_SPANS} END",
+        lambda u: f"CASE WHEN size({u}) > 0 THEN"
+        f" {let(segments(text), lambda parts: _labelled(parts, u, rules), 'parts')} ELSE {NO_SPANS} END",
         "union",
     )
 
 
-_VALUE, _TEXT, _START, _END = "{value}", "{text}", "{start}", "{end}"
+_VALUE, _PARTS, _START, _END = "{value}", "{parts}", "{start}", "{end}"
 
 
 def _template(sql: str) -> str:
     """Keep braces of the SQL (regex counts) and open only the operands."""
     sql = sql.replace("{", "{{").replace("}", "}}")
-    for operand in (_VALUE, _TEXT, _START, _END):
+    for operand in (_VALUE, _PARTS, _START, _END):
         sql = sql.replace("{" + operand + "}", operand)
     return sql
 
@@ -170,7 +177,7 @@ def default_rules() -> list[Rule]:
         Rule("credit_card", "CREDIT_CARD", fixed.CREDIT_CARD, 0.75, fixed.CARD_CONTEXT,
              validate=_template(validators.valid_card(_VALUE)), **digits),
         Rule("birth_date", "DATE_OF_BIRTH", fixed.DATE, 0.88,
-             confirm=_template(validators.near_birth_keyword(_TEXT, _START, _END)), **digits),
+             confirm=_template(validators.near_birth_keyword(_PARTS, _START, _END)), **digits),
         Rule("pin_code", pattern=fixed.PIN_CODE, score=0.75, **address, **digits),
         Rule("ip_address", "IP_ADDRESS", fixed.IP_ADDRESS, 0.85, fixed.IP_CONTEXT,
              gate=r"\d\.\d{1,3}\.\d", validate=_template(validators.valid_ipv4(_VALUE))),

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from inkveil.functions.columns import fresh
+from inkveil.functions.columns import cut, fresh, let, segments
 
 
 def replace_chained(text: str, entities: str) -> str:
@@ -30,12 +30,13 @@ def replace_exact(text: str, entities: str) -> str:
     """Replace the detected spans only; every other character stays."""
     e, i = fresh("e"), fresh("i")
     before = f"CASE WHEN {i} = 0 THEN 0 ELSE {entities}[{i} - 1].`end` END"
-    parts = (
-        f"transform({entities}, ({e}, {i}) ->"
-        f" concat(substring({text}, {before} + 1, {e}.start - {before}), {e}.replacement))"
-    )
+
+    def stitched(parts: str) -> str:
+        gap = cut(parts, before, f"{e}.start - {before}")
+        return f"array_join(transform({entities}, ({e}, {i}) -> concat({gap}, {e}.replacement)), '')"
+
     return (
-        f"CASE WHEN size({entities}) > 0 THEN concat(array_join({parts}, ''),"
+        f"CASE WHEN size({entities}) > 0 THEN concat({let(segments(text), stitched, 'parts')},"
         f" substring({text}, element_at({entities}, -1).`end` + 1)) ELSE {text} END"
     )
 

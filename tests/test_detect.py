@@ -128,6 +128,46 @@ def test_no_overlaps_and_slices_agree(spark, sf_dir):
             last = e.end
 
 
+def long_line(n):
+    """One line with values of five kinds, accents and emoji between them."""
+    kinds = [
+        "mail né u{i}x@h{i}.org", "host 10.1.{j}.7", "😀 date of birth: 0{k}/04/1971", "SSN 321-54-98{k}6 été", "the firm Quill LLP",
+    ]
+    return " ; ".join(t.format(i=i, j=i % 250, k=1 + i % 9) for i in range(n) for t in kinds)
+
+
+def test_long_lines_are_like_short_ones(spark, find, monkeypatch):
+    from inkveil.functions import columns
+
+    text = long_line(300)
+    assert len(text) > 3 * columns.LONG_TEXT
+    found = find([text])[0]
+    assert len(found) == 1500 and all(text[s:e] == v for _, v, s, e, _ in found)
+    monkeypatch.setattr(columns, "LONG_TEXT", 10**9)
+    assert find([text])[0] == found
+
+
+def test_long_lines_are_redacted_whole(spark):
+    from inkveil.plans.redact import redact
+
+    text = long_line(300)
+    row = redact(spark.createDataFrame([(text,)], "text string")).first()
+    expected, last = "", 0
+    for e in row.entities:
+        expected += text[last : e.start] + e.replacement
+        last = e.end
+    assert row.redacted == expected + text[last:]
+
+
+def test_dictionary_in_a_long_line(spark):
+    text = "é😀 " * 3000 + "Port Vila, then port-vila " * 20
+    words = spark.createDataFrame([("port vila", "GPE")], "phrase string, entity_type string")
+    rows = dictionary.with_mentions(spark.createDataFrame([(text,)], "text string"), words, ["text"])
+    found = rows.first().mentions
+    assert len(found) == 40 and all(text[m.start : m.end] == m.original_text for m in found)
+    assert {m.original_text for m in found} == {"Port Vila", "port-vila"}
+
+
 def test_own_rule_and_label(find):
     rule = Rule("ticket", "TICKET", r"\bT-\d{4}\b", 0.6, context=("ticket",), validate="{value} <> 'T-0000'")
     found = find(["ticket T-1234 and T-0000"], rules=[rule], labels={"TICKET": "TICKET"})
