@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkveil.llm import bpe, mtree, quality, ring
+from inkveil.llm import bpe, mtree, near, packing, quality, ring
 from inkveil.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,15 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", trip.alias("t")).select("doc_id", "t.*")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).drop("gap")
+
+
+def op4_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op5_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -44,7 +53,7 @@ def op6_mtree_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.best_of(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_transducer, op5_ring_shards, op6_mtree_top5)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_transducer, op3_best_fit_packing, op4_minhash_near, op5_ring_shards, op6_mtree_top5)}
 
 _SOFT = {
     "thin": "n_words < 20",
@@ -94,6 +103,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m LEFT JOIN habits ON m.source IS NOT DISTINCT FROM habits.host
 """
 
+OP4_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, doc_id, count(*) AS n FROM s GROUP BY r, doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM (SELECT x.r AS r, y.r AS q, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY x.r, y.r) p
+  JOIN n a ON a.r = p.r JOIN n b ON b.r = p.q
+  WHERE 100 * c >= 75 * (a.n + b.n - c)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n ON n.r = d.r JOIN least ON least.a = d.doc_id
+"""
+
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
@@ -108,4 +140,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
-ORACLES = {"op1_quality_rules": OP1_SQL, "op6_mtree_top5": OP6_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op4_minhash_near": OP4_SQL, "op6_mtree_top5": OP6_SQL}
