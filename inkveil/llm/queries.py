@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkveil.llm import bpe, chat, mtree, near, packing, quality, ring
+from inkveil.llm import bpe, chat, html, licences, mtree, near, packing, quality, ring, toxic
 from inkveil.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -62,7 +62,32 @@ def op7_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(given.unionByName(trap))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_transducer, op3_best_fit_packing, op4_minhash_near, op5_ring_shards, op6_mtree_top5, op7_chat_template)}
+def op8_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), into="found")
+    confirmed = "filter(found, x -> x.family <> 'unknown' AND x.confirmed)"
+    return found.selectExpr(
+        "doc_id",
+        f"array_join(array_sort(array_distinct(transform({confirmed}, x -> x.family))), ',') AS licences",
+        f"cast(size({confirmed}) AS long) AS n_confirmed",
+        "cast(size(filter(found, x -> x.family <> 'unknown' AND NOT x.confirmed)) AS long) AS n_unconfirmed",
+        "cast(size(filter(found, x -> x.family = 'unknown')) AS long) AS n_unknown",
+    )
+
+
+def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxic.fit_on(docs, table(spark, sf_dir, "labels"), ~toxic.held_out())
+    rows = docs.select("doc_id", toxic.held_out().alias("held_out"), toxic.scored(F.col("text"), model).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= toxic.THRESHOLD).cast("int"))
+
+
+def op10_host_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = html.main_texts(pages, html.host_of(F.col("url")))
+    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_transducer, op3_best_fit_packing, op4_minhash_near, op5_ring_shards, op6_mtree_top5, op7_chat_template, op8_licence_paragraphs, op9_string_kernel_toxicity, op10_host_path_text)}
 
 _SOFT = {
     "thin": "n_words < 20",
@@ -149,4 +174,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
-ORACLES = {"op1_quality_rules": OP1_SQL, "op4_minhash_near": OP4_SQL, "op6_mtree_top5": OP6_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op4_minhash_near": OP4_SQL, "op6_mtree_top5": OP6_SQL, "op8_licence_paragraphs": licences.twin_sql()}
