@@ -6,11 +6,13 @@ hashes of the union of two documents belong to both sketches wherever both
 documents have them, so sketches alone give an estimate of the similarity.
 
 1. Texts with the same words are one class; each class is sketched once.
-2. Inverted lists: two retained values that are neighbours in a sketch make a
+2. Inverted lists: three retained values that are neighbours in a sketch make a
    list; sets of at most ``TINY`` shingles also list each value.  Of the first
    ``SKETCH`` values of the union, a linked pair shares each with probability
-   0.75, so a linked pair without two in a row among them has a chance of
-   about 1e-15; for sets smaller than a sketch there is always such a run.
+   0.75, so a linked pair without three in a row among them has a chance of
+   about 1e-11; for sets smaller than a sketch there is always such a run, or
+   they are tiny.  A passage that many texts share seldom fills three places in
+   a row, so its lists stay short.
 3. Every list links its members to its smallest member, which is linear in the
    list.  The pairs are filtered by the union sketch, then verified on the full
    sets.
@@ -28,7 +30,6 @@ gives an empty result.  Ids that repeat with other texts are one node.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +37,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from inkveil.llm.common import WORD_PATTERN, is_empty, small_or_all, staged
+from inkveil.llm.common import is_empty, small_or_all, staged
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH, RUN, TINY = 64, 2, 3
+SKETCH, RUN, TINY = 96, 3, 8
 # Estimates below this share of the threshold are dropped only if this many standard errors away from it.
 ERRORS = 6.0
 # Lists with members in several components are compared in blocks of so many.
@@ -48,13 +49,10 @@ BLOCK = 256
 # Ids of documents to be verified are broadcast if counted to be at most so many; else joined by a shuffle.
 BROADCAST_IDS = 500_000
 
-_words = re.compile(WORD_PATTERN).findall
-_lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-def words_of(text: str | None) -> list[str]:
-    return _words(text.translate(_lower) if not text.isascii() else text.lower()) if text else []
+_BASE = 0xD1342543DE82EF95
+# Bytes of a text are hashed in blocks of about so many.
+TEXT_BLOCK = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,32 +63,65 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _byte_values() -> tuple[np.ndarray, np.ndarray]:
+    """Per byte whether it is part of a word, and its hash; A-Z hash as a-z."""
+    part = np.ones(256, np.int8)
+    part[[0x20, *range(0x09, 0x0E)]] = 0
+    lower = np.arange(256)
+    lower[65:91] += 32
+    with np.errstate(over="ignore"):
+        return part, mixed((lower.astype(np.uint64) + np.uint64(1)) * _MULTIPLIERS[0])
+
+
+_PART, _VALUE = _byte_values()
+
+
 class Hasher:
-    """64-bit hashes of words, remembered up to a fixed number, and of shingles."""
+    """64-bit hashes of the words of a text and of its shingles; powers are kept for the next text."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def word(self, word: str) -> int:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= 500_000:
-                self.known.clear()
-            digest = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            found = self.known[word] = int.from_bytes(digest, "little")
-        return found
-
-    def shingles(self, words: list[str]) -> np.ndarray:
-        """Sorted distinct hashes of the shingles."""
-        if not words:
-            return np.empty(0, np.uint64)
-        get, new = self.known.get, self.word
-        hashes = np.array([get(w) or new(w) for w in words], np.uint64)
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, size: int) -> None:
+        if len(self.powers) < size:
+            size = max(size, 1 << 16)
+            with np.errstate(over="ignore"):
+                self.powers, self.inverse = (
+                    np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64)
+                    for b in (_BASE, pow(_BASE, -1, 1 << 64))
+                )
+
+    def words(self, text: str | None) -> np.ndarray:
+        """The hash of each word: sums of its bytes' hashes times powers, shifted to the word's begin."""
+        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        found = []
+        at = 0
+        while at < len(data):
+            end = min(len(data), at + TEXT_BLOCK)
+            while end < len(data) and _PART[data[end]]:  # a block ends between words
+                rest = np.flatnonzero(_PART[data[end : end + TEXT_BLOCK]] == 0)
+                end = end + int(rest[0]) if len(rest) else min(len(data), end + TEXT_BLOCK)
+            block = data[at:end]
+            self._grow(len(block) + 1)
+            edges = np.diff(np.concatenate([[0], _PART[block], [0]]).astype(np.int8))
+            starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+            with np.errstate(over="ignore"):
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[block] * self.powers[: len(block)], dtype=np.uint64)])
+                own = (sums[ends] - sums[starts]) * self.inverse[starts]
+                found.append(mixed(own + (ends - starts).astype(np.uint64) * _MULTIPLIERS[1]))
+            at = end
+        return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+    @staticmethod
+    def shingles(words: np.ndarray) -> np.ndarray:
+        """Sorted distinct hashes of the shingles of word hashes."""
+        if not len(words):
+            return words
         n = max(1, len(words) - SHINGLE + 1)
         total = np.full(n, min(len(words), SHINGLE), np.uint64)
         with np.errstate(over="ignore"):
             for k in range(min(SHINGLE, len(words))):
-                total = mixed(total + hashes[k : k + n] * _MULTIPLIERS[k])
+                total = mixed(total + words[k : k + n] * _MULTIPLIERS[k])
         return np.unique(total)
 
 
@@ -135,8 +166,8 @@ def _sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         rows = []
         for text in batch:
-            words = words_of(text)
-            key = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None
+            words = hasher.words(text)
+            key = hashlib.blake2b(words.tobytes(), digest_size=16).digest() if len(words) else None
             values = hasher.shingles(words)
             rows.append((key, len(values), as_long(values[:SKETCH])))
         yield pd.DataFrame(rows, columns=["words_key", "n_shingles", "sketch"])
@@ -146,7 +177,7 @@ def _sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     hasher = Hasher()
     for batch in texts:
-        yield pd.Series([as_long(hasher.shingles(words_of(t))) for t in batch], dtype=object)
+        yield pd.Series([as_long(hasher.shingles(hasher.words(t))) for t in batch], dtype=object)
 
 
 @F.pandas_udf("array<long>")
