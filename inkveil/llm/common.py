@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -14,6 +16,19 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
+def batch_udf(returns: str) -> Callable[[Callable], Callable[..., Column]]:
+    """A pandas UDF that is made when first applied: its type, as SQL text, can't be read before there is a session."""
+
+    def wrap(function: Callable) -> Callable[..., Column]:
+        @functools.wraps(function)
+        def apply(*columns: Column | str) -> Column:
+            return F.pandas_udf(function, returns)(*columns)
+
+        return apply
+
+    return wrap
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

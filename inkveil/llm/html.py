@@ -28,7 +28,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from inkveil.llm.common import small_or_all, staged
+from inkveil.llm.common import batch_udf, small_or_all, staged
 
 WINNING_SHARE = 0.1
 
@@ -249,13 +249,13 @@ def extract(html: str | None, winners: list[str] | None) -> str:
     return "\n".join(text for b in blocks if (text := clean(b)))
 
 
-@F.pandas_udf("string")
+@batch_udf("string")
 def _votes(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in pages:
         yield pd.Series([vote(h) for h in batch], dtype=object)
 
 
-@F.pandas_udf("string")
+@batch_udf("string")
 def _texts(pages: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for html, winners in pages:
         yield pd.Series([extract(h, None if w is None else list(w)) for h, w in zip(html, winners)], dtype=object)

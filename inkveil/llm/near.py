@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from inkveil.llm.common import is_empty, small_or_all, staged
+from inkveil.llm.common import batch_udf, is_empty, small_or_all, staged
 
 SHINGLE = 5
 PERCENT = 75
@@ -160,7 +160,7 @@ def as_long(values: np.ndarray) -> np.ndarray:
 _SKETCHES = "words_key binary, n_shingles long, sketch array<long>"
 
 
-@F.pandas_udf(_SKETCHES)
+@batch_udf(_SKETCHES)
 def _sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     hasher = Hasher()
     for batch in texts:
@@ -173,21 +173,21 @@ def _sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["words_key", "n_shingles", "sketch"])
 
 
-@F.pandas_udf("array<long>")
+@batch_udf("array<long>")
 def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     hasher = Hasher()
     for batch in texts:
         yield pd.Series([as_long(hasher.shingles(hasher.words(t))) for t in batch], dtype=object)
 
 
-@F.pandas_udf("array<long>")
+@batch_udf("array<long>")
 def _list_keys(sketches: pd.Series, sizes: pd.Series) -> pd.Series:
     return pd.Series(
         [as_long(run_keys(np.asarray(s, np.int64).view(np.uint64), n)) for s, n in zip(sketches, sizes)], dtype=object
     )
 
 
-@F.pandas_udf("boolean")
+@batch_udf("boolean")
 def _may_link(a: pd.Series, size_a: pd.Series, b: pd.Series, size_b: pd.Series) -> pd.Series:
     def unsigned(x):
         return np.asarray(x, np.int64).view(np.uint64)
@@ -197,7 +197,7 @@ def _may_link(a: pd.Series, size_a: pd.Series, b: pd.Series, size_b: pd.Series)
     )
 
 
-@F.pandas_udf("boolean")
+@batch_udf("boolean")
 def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact: the sets are sorted arrays of hashes."""
 

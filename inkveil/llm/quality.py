@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from inkveil.llm.common import WORD_PATTERN, small_or_all, staged
+from inkveil.llm.common import WORD_PATTERN, batch_udf, small_or_all, staged
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -83,7 +83,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     )
 
 
-@F.pandas_udf(MEASURES)
+@batch_udf(MEASURES)
 def _measures(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     names = [part.split()[0] for part in MEASURES.split(", ")]
     for batch in texts:
