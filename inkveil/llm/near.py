@@ -6,13 +6,14 @@ hashes of the union of two documents belong to both sketches wherever both
 documents have them, so sketches alone give an estimate of the similarity.
 
 1. Texts with the same words are one class; each class is sketched once.
-2. Inverted lists: three retained values that are neighbours in a sketch make a
-   list; sets of at most ``TINY`` shingles also list each value.  Of the first
-   ``SKETCH`` values of the union, a linked pair shares each with probability
-   0.75, so a linked pair without three in a row among them has a chance of
-   about 1e-11; for sets smaller than a sketch there is always such a run, or
-   they are tiny.  A passage that many texts share seldom fills three places in
-   a row, so its lists stay short.
+2. Inverted lists: two retained values that are neighbours in a sketch make a
+   list.  Values that very many sketches hold, as those of a passage that many
+   texts share, are left out before, so lists stay short; a sketch that mostly
+   has such values also lists its runs of three with them, which is how large
+   groups of copies meet, and sets of at most ``TINY`` shingles list each value.
+   Of the first ``SKETCH`` values of the union, a linked pair shares each with
+   probability 0.75; that no two in a row are shared has a chance below 1e-20,
+   and below 1e-7 where half of the values are hot.
 3. Every list links its members to its smallest member, which is linear in the
    list.  The pairs are filtered by the union sketch, then verified on the full
    sets.
@@ -41,9 +42,13 @@ from inkveil.llm.common import batch_udf, is_empty, small_or_all, staged
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH, RUN, TINY = 96, 3, 8
+SKETCH, RUN, COLD_RUN, TINY = 96, 3, 2, 8
+# A value is hot if so many sketches hold it, or more than this share of all retained values.
+HOT, HOT_SHARE = 1000, 200_000
+# With fewer cold values than these, or than half of the sketch, a sketch also lists its runs with hot values.
+LEAST_COLD = 40
 # Estimates below this share of the threshold are dropped only if this many standard errors away from it.
-ERRORS = 6.0
+ERRORS = 5.0
 # Lists with members in several components are compared in blocks of so many.
 BLOCK = 256
 # Ids of documents to be verified are broadcast if counted to be at most so many; else joined by a shuffle.
@@ -125,18 +130,28 @@ class Hasher:
         return np.unique(total)
 
 
-def run_keys(sketch: np.ndarray, size: int) -> np.ndarray:
-    """Keys of the inverted lists that a sketch belongs to."""
-    keys = []
+def runs(values: np.ndarray, length: int) -> np.ndarray:
+    """A key for each ``length`` values that are neighbours."""
+    n = max(0, len(values) - length + 1)
+    with np.errstate(over="ignore"):
+        key = values[:n] + np.uint64(length)
+        for k in range(1, length):
+            key = mixed(key * np.uint64(3) + values[k : n + k])
+    return key
+
+
+def list_keys(sketch: np.ndarray, size: int, hot: np.ndarray) -> np.ndarray:
+    """Keys of the inverted lists that a sketch belongs to; ``hot`` is sorted."""
+    cold = sketch
+    if len(hot):
+        place = np.searchsorted(hot, sketch).clip(max=len(hot) - 1)
+        cold = sketch[hot[place] != sketch]
+    keys = [runs(cold, COLD_RUN)]
+    if len(cold) < max(len(sketch) / 2, LEAST_COLD):
+        keys.append(runs(sketch, RUN))
     if size <= TINY:
         keys.append(mixed(sketch + np.uint64(1)))
-    if len(sketch) >= RUN:
-        with np.errstate(over="ignore"):
-            key = sketch[: len(sketch) - RUN + 1].copy()
-            for k in range(1, RUN):
-                key = mixed(key * np.uint64(3) + sketch[k : len(sketch) - RUN + 1 + k])
-        keys.append(key)
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+    return np.unique(np.concatenate(keys))
 
 
 def estimate_fails(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int) -> bool:
@@ -180,11 +195,25 @@ def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([as_long(hasher.shingles(hasher.words(t))) for t in batch], dtype=object)
 
 
-@batch_udf("array<long>")
-def _list_keys(sketches: pd.Series, sizes: pd.Series) -> pd.Series:
-    return pd.Series(
-        [as_long(run_keys(np.asarray(s, np.int64).view(np.uint64), n)) for s, n in zip(sketches, sizes)], dtype=object
-    )
+def _list_keys(hot: np.ndarray):
+    @batch_udf("array<long>")
+    def keys(sketches: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series(
+            [as_long(list_keys(np.asarray(s, np.int64).view(np.uint64), n, hot)) for s, n in zip(sketches, sizes)], dtype=object
+        )
+
+    return keys("sketch", "n_shingles")
+
+
+def hot_values(nodes: DataFrame) -> np.ndarray:
+    """The values in more than ``HOT`` sketches, or in more than one in ``HOT_SHARE`` of all retained values, sorted.
+
+    So there are at most ``HOT_SHARE`` of them, whatever the input.
+    """
+    counted = nodes.select(F.explode("sketch").alias("value")).groupBy("value").count()
+    total = nodes.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    rows = counted.where(F.col("count") > max(HOT, total / HOT_SHARE)).select("value").collect()
+    return np.sort(np.array([r.value for r in rows], np.int64).view(np.uint64))
 
 
 @batch_udf("boolean")
@@ -219,7 +248,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFra
         .where(_may_link("a_sketch", "a_n_shingles", "b_sketch", "b_n_shingles")).select("a", "b"),
         "near-hopeful",
     )
-    wanted = hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = hopeful.select(F.col("a").alias("node")).union(hopeful.select("b")).distinct()
     texts = sets.join(small_or_all(wanted, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"])
     full = staged(texts.select("node", _sets("text").alias("set")), "near-sets")
     return (
@@ -270,7 +299,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text:
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
     of_list = Window.partitionBy("key")
     members = staged(
-        nodes.select("node", F.explode(_list_keys("sketch", "n_shingles")).alias("key"))
+        nodes.select("node", F.explode(_list_keys(hot_values(nodes))).alias("key"))
         .withColumn("first", F.min("node").over(of_list)).withColumn("last", F.max("node").over(of_list))
         .where("first < last").select("key", "node", "first"),
         "near-lists",
