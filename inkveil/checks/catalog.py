@@ -67,12 +67,9 @@ def raw_spans(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 # -- flagship ---------------------------------------------------------------
-FLAGSHIP_RULES = ["email", "credit_card", "ip_address"]
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to paragraphs to entities to counts per category."""
-    found = found_in(document_paragraphs(spark, sf_dir), rules=rules_named(*FLAGSHIP_RULES))
+    found = found_in(document_paragraphs(spark, sf_dir))
     return sm.ranked_types(found)
 
 
@@ -80,7 +77,7 @@ register(
     "flagship_document_types",
     o.with_query(
         "SELECT category AS entity_type, count(*) AS n FROM ents GROUP BY category",
-        *o.entities("documents", FLAGSHIP_RULES),
+        *o.entities("documents"),
     ),
 )(flagship)
 
@@ -283,6 +280,46 @@ def _(spark, sf_dir):
     return explode_entities(detect(named, rules=[], extra_spans="mentions"), drop=["text", "mentions"])
 
 
+_LONG_NAMES = "concat_ws(' ', 'Old', {part}, 'Market', 'Square', 'and', 'Fish', 'Quay')"
+
+
+def long_names(spark, sf_dir):
+    """Eight-word phrases made from the regions' names; each is listed twice."""
+    regions = read_table(spark, sf_dir, "region").selectExpr(f"{_LONG_NAMES.format(part='r_name')} AS phrase", "'LOCATION' AS entity_type")
+    return regions.union(regions)
+
+
+def long_notes(spark, sf_dir, key: str):
+    """Notes that name one phrase of ``long_names``, blanks doubled."""
+    text = f"concat('Meet at ', replace({_LONG_NAMES.format(part='r_name')}, ' ', '  '), ', ', n_name)"
+    nations = read_table(spark, sf_dir, "nation").join(F.broadcast(read_table(spark, sf_dir, "region")), F.expr("n_regionkey = r_regionkey"))
+    return nations.selectExpr("'note' AS src", f"{key} AS id", "0 AS para", f"{text} AS text")
+
+
+def _long_sql(key: str) -> str:
+    name = _LONG_NAMES.format(part="r_name")
+    return (
+        f"SELECT 'note' AS src, {key} AS id, 0 AS para, replace({name}, ' ', '  ') AS original_text, 8 AS start,"
+        f" 8 + length(replace({name}, ' ', '  ')) AS \"end\" FROM nation JOIN region ON n_regionkey = r_regionkey"
+    )
+
+
+def _named(notes: DataFrame) -> DataFrame:
+    return explode_entities(detect(notes, rules=[], extra_spans="mentions")).select("src", "id", "para", "original_text", "start", "end")
+
+
+@register("D18_long_phrases", _long_sql("n_nationkey"))
+def _(spark, sf_dir):
+    return _named(dictionary.with_mentions(long_notes(spark, sf_dir, "n_nationkey"), long_names(spark, sf_dir), KEYS))
+
+
+@register("D18_repeated_keys", _long_sql("CASE WHEN n_nationkey % 3 > 0 THEN n_regionkey END"))
+def _(spark, sf_dir):
+    """The join, with keys that repeat and keys that are NULL."""
+    notes = long_notes(spark, sf_dir, "CASE WHEN n_nationkey % 3 > 0 THEN n_regionkey END")
+    return _named(dictionary.joined_mentions(notes, dictionary.normalized(long_names(spark, sf_dir)), KEYS))
+
+
 # -- validators and filters -------------------------------------------------
 def unchecked(spark: SparkSession, sf_dir: str, rule: str, check: str) -> DataFrame:
     """Matches of a rule's pattern before its validator, with the verdict."""

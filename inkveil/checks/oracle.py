@@ -232,11 +232,8 @@ def _score(twin: Twin) -> str:
     single = [w for w in twin.context if " " not in w]
     if not single:
         return f"CAST({twin.score} AS DOUBLE)"
-    before = (
-        f"regexp_extract_all(lower(substr(text, greatest(s - {fixed.CONTEXT_REACH}, 0) + 1,"
-        f" s - greatest(s - {fixed.CONTEXT_REACH}, 0))), '{_WORD}')"
-    )
-    after = f"regexp_extract_all(lower(substr(text, s + 1, {fixed.CONTEXT_REACH})), '{_WORD}')"
+    before = f"regexp_extract_all(lower(substr(text, 1, s)), '{_WORD}')"
+    after = f"regexp_extract_all(lower(substr(text, s + 1)), '{_WORD}')"
     content = f"list_filter({after}, lambda w: w NOT IN ({quotes(fixed.STOP_WORDS)}))"
     words = f"list_concat(list_reverse(list_reverse({before})[1:{fixed.CONTEXT_TOKENS_BEFORE}]), {content}[1:1])"
     raised = min(1.0, round(twin.score + fixed.CONTEXT_BOOST, 4))

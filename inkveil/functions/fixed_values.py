@@ -127,7 +127,6 @@ ADDRESS_CONTEXT = (
 )
 CONTEXT_BOOST = 0.35
 CONTEXT_TOKENS_BEFORE = 5
-CONTEXT_REACH = 200  # characters searched for those tokens
 STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "had", "has",
     "have", "he", "her", "his", "in", "is", "it", "its", "me", "my", "of", "on", "or",

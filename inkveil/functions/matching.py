@@ -22,6 +22,9 @@ def find_all(text: str, pattern: str) -> str:
     return f"regexp_extract_all({text}, {quote(pattern)}, 0)"
 
 
+# Characters on either side of a match that are read for its context first.
+NEAR = 200
+
 # Stands between pieces while a text is cut; no assigned character.
 CUT = "\uffff"
 
@@ -77,14 +80,31 @@ def words_around(parts: str, start: str) -> str:
     A context word hits when it is part of a token.  Tokens hold no blanks,
     so searching the joined words is the same, and context words with blanks
     can never hit.
+
+    Most windows lie within ``NEAR`` characters.  A token at the edge of such a
+    piece may be cut, so a piece counts only if it holds one token more than
+    needed; else all of that side of the text is read.
     """
-    reach, keep = fixed.CONTEXT_REACH, fixed.CONTEXT_TOKENS_BEFORE
-    first = f"greatest({start} - {reach}, 0)"
-    before = find_all(f"lower({cut(parts, first, f'{start} - {first}')})", WORD)
+    keep = fixed.CONTEXT_TOKENS_BEFORE
+
+    def tokens(first: str, length: str) -> str:
+        return find_all(f"lower({cut(parts, first, length)})", WORD)
+
+    def content(words: str) -> str:
+        return each(words, lambda w: f"{w} NOT IN ({quotes(fixed.STOP_WORDS)})", "filter")
+
+    first = f"greatest({start} - {NEAR}, 0)"
+    before = let(
+        tokens(first, f"{start} - {first}"),
+        lambda b: f"CASE WHEN {start} <= {NEAR} OR size({b}) > {keep} THEN {b} ELSE {tokens('0', start)} END",
+    )
     nearest = let(before, lambda b: f"slice({b}, greatest(size({b}) - {keep - 1}, 1), {keep})")
-    after = find_all(f"lower({cut(parts, start, str(reach))})", WORD)
-    content = each(after, lambda w: f"{w} NOT IN ({quotes(fixed.STOP_WORDS)})", "filter")
-    return f"array_join(concat({nearest}, slice({content}, 1, 1)), ' ')"
+    total = f"aggregate(transform({parts}, p_ -> length(p_)), 0, (a_, n_) -> a_ + n_)"
+    after = let(
+        content(tokens(start, str(NEAR))),
+        lambda a: f"CASE WHEN size({a}) > 1 THEN {a} ELSE {content(tokens(start, f'{total} - {start}'))} END",
+    )
+    return f"array_join(concat({nearest}, slice({after}, 1, 1)), ' ')"
 
 
 def context_pattern(words: Sequence[str]) -> str:

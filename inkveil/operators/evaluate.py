@@ -73,29 +73,25 @@ def match_spans(gold: DataFrame, detections: DataFrame) -> DataFrame:
 
 
 def false_positives(sentences: DataFrame, gold: DataFrame, detections: DataFrame) -> DataFrame:
-    """Detections without a gold span of the same place and category."""
-    keys = gold.select("sent_id", "start", "end", F.col("category").alias("entity_type")).distinct()
-    return (
-        detections.join(keys, ["sent_id", "start", "end", "entity_type"], "left_anti")
-        .join(sentences.select("sent_id", "text"), "sent_id")
-        .select(
-            "sent_id", "start", "text", F.col("original_text").alias("matched_text"), "entity_type",
-            F.round("score", 3).alias("score"),
-        )
+    """Detections beyond those that pair up with a gold span of the same place and category; repeated ones repeat."""
+    surplus = match_spans(gold, detections).where("fp > 0").select(*_PLACE, "fp")
+    found = detections.groupBy("sent_id", "start", "end", F.col("entity_type").alias("category")).agg(
+        F.min("original_text").alias("matched_text"), F.round(F.max("score"), 3).alias("score")
+    )
+    texts = sentences.select("sent_id", "text")
+    repeated = surplus.join(found, _PLACE).withColumn("copy_", F.explode(F.expr("sequence(1L, fp)")))
+    return repeated.join(texts, "sent_id").select(
+        "sent_id", "start", "text", "matched_text", F.col("category").alias("entity_type"), "score"
     )
 
 
 def false_negatives(sentences: DataFrame, gold: DataFrame, detections: DataFrame) -> DataFrame:
-    """Gold spans without a detection of the same place and category."""
-    keys = detections.select("sent_id", "start", "end", F.col("entity_type").alias("category")).distinct()
-    return (
-        gold.join(keys, _PLACE, "left_anti")
-        .join(sentences.select("sent_id", "text"), "sent_id")
-        .select(
-            "sent_id", "start", "text",
-            F.expr("substring(text, start + 1, `end` - start)").alias("missed_text"),
-            F.col("category").alias("entity_type"),
-        )
+    """Gold spans beyond those that pair up with a detection of the same place and category; repeated ones repeat."""
+    surplus = match_spans(gold, detections).where("fn > 0").select(*_PLACE, F.explode(F.expr("sequence(1L, fn)")).alias("copy_"))
+    return surplus.join(sentences.select("sent_id", "text"), "sent_id").select(
+        "sent_id", "start", "text",
+        F.expr("substring(text, start + 1, `end` - start)").alias("missed_text"),
+        F.col("category").alias("entity_type"),
     )
 
 

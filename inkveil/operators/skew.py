@@ -42,7 +42,7 @@ def salted_join(many: DataFrame, one: DataFrame, keys: Sequence[str]) -> DataFra
     hot = (
         many.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n_"))
-        .orderBy(F.desc("n_"))
+        .orderBy(F.desc("n_"), *keys)
         .limit(HOT_KEYS)
         .select(*keys, F.lit(True).alias("hot_"))
     )

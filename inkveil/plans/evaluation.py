@@ -41,8 +41,18 @@ def evaluate(sentences: DataFrame, strict: bool = True, stage: bool = False, **d
 
     gold_places = F.transform("gold", lambda g: place(g, "category"))
     found_places = F.transform("entities", lambda e: place(e, "entity_type"))
-    wrong = F.filter("entities", lambda e: ~F.array_contains("gold_places", place(e, "entity_type")))
-    missed = F.filter("gold", lambda g: ~F.array_contains("found_places", place(g, "category")))
+    def times(places: Column, wanted: Column) -> Column:
+        return F.size(F.filter(places, lambda p: p == wanted))
+
+    def surplus(spans: str, category: str, own: str, others: str) -> Column:
+        """The spans beyond those that pair up one to one with ``others``: of equal ones, the last."""
+        return F.filter(
+            spans,
+            lambda s, i: times(F.slice(own, 1, i + 1), place(s, category)) > times(F.col(others), place(s, category)),
+        )
+
+    wrong = surplus("entities", "entity_type", "found_places", "gold_places")
+    missed = surplus("gold", "category", "gold_places", "found_places")
     placed = scored.withColumn("gold_places", gold_places).withColumn("found_places", found_places)
     fps = (
         placed.select("sent_id", "text", F.inline_outer(wrong))

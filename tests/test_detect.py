@@ -232,3 +232,9 @@ def test_default_rules_have_distinct_names():
     names = [r.name for r in default_rules()]
     assert len(names) == len(set(names)) == 17
     assert entities_sql("text").count("regexp_extract_all") >= 17
+
+
+def test_context_is_counted_in_tokens_however_long(find):
+    long = "x" * 250
+    (near,), (far,), (sixth,) = find([f"phone {w} 9812345678" for w in (long[:50], long, "a b c d e")], rules=default_rules())
+    assert near[4] == far[4] == 1.0 and sixth[4] < 1.0
