@@ -37,7 +37,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-CLEAN_DOCS, TOXIC_DOCS, FIT_CHARS = 3000, 2000, 20_000
+CLEAN_DOCS, TOXIC_DOCS, FIT_CHARS = 3000, 1500, 10_000
 THRESHOLD = 0.7
 SPAN, DECAY = 5, 0.7
 # Longer words are read in pieces that overlap.
@@ -127,9 +127,9 @@ class Model:
 
     def of_pieces(self, pieces: list[str]) -> np.ndarray:
         out = np.empty(len(pieces), np.float64)
-        for at in range(0, len(pieces), 4096):
-            place, weight = subsequences(pieces[at : at + 4096])
-            out[at : at + 4096] = (self.table[place] * weight).sum(1) + self.offset
+        for at in range(0, len(pieces), 1024):
+            place, weight = subsequences(pieces[at : at + 1024])
+            out[at : at + 1024] = (self.table[place] * weight).sum(1) + self.offset
         return out
 
     def of_tokens(self, words: Iterable[str]) -> dict[str, float]:
@@ -178,13 +178,15 @@ def grams(pieces: list[str]) -> np.ndarray:
             for k in range(size):
                 mixed = (mixed ^ codes[:, k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(31)
-            out.append(np.where(codes[:, size - 1 : size - 1 + n] > 0, (mixed >> np.uint64(43)).astype(np.int64), -1))
+            out.append(np.where(codes[:, size - 1 : size - 1 + n] > 0, (mixed >> np.uint64(43)).astype(np.int32), np.int32(-1)))
     return np.concatenate(out, 1)
 
 
 def evidence(docs: list[np.ndarray], toxic: np.ndarray, words: list[str]) -> np.ndarray:
     """Per word how much its most telling character sequence is bound to toxic documents (signed likelihood ratio)."""
-    ids = grams([f"^{w[: PIECE - 2]}$" for w in words])
+    step = 10_000
+    parts = [grams([f"^{w[: PIECE - 2]}$".ljust(PIECE, "\0") for w in words[i : i + step]]) for i in range(0, len(words), step)]
+    ids = np.concatenate(parts)
     size = 1 << 21
     seen = np.zeros((2, size), np.int64)
     for doc, label in zip(docs, toxic):
@@ -200,7 +202,7 @@ def evidence(docs: list[np.ndarray], toxic: np.ndarray, words: list[str]) -> np.
 
     ratio = 2 * (part(bad, totals[1]) + part(clean, totals[0])) * np.sign(bad / totals[1] - clean / totals[0])
     ratio = np.append(ratio, 0.0)  # for -1
-    return ratio[ids].max(1)
+    return np.concatenate([ratio[p].max(1) for p in parts])
 
 
 def inserted(word: str, rng: np.random.Generator) -> str:
@@ -212,14 +214,18 @@ def inserted(word: str, rng: np.random.Generator) -> str:
 
 def machine(features: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin; the last weight is the offset."""
-    x = np.hstack([features, np.ones((len(features), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-3
+    x = np.hstack([features, np.ones((len(features), 1), np.float32)])
     inside = np.ones(len(x), bool)
     for _ in range(30):
-        own, c = x[inside], COST * weights[inside]
-        w = np.linalg.solve(ridge + (own * c[:, None]).T @ own, own.T @ (c * labels[inside]))
+        left, right = np.eye(x.shape[1]), np.zeros(x.shape[1])
+        left[-1, -1] = 1e-3
+        for at in range(0, len(x), 2000):  # in blocks, to spare memory
+            rows = slice(at, at + 2000)
+            own = x[rows][inside[rows]].astype(float)
+            c = COST * weights[rows][inside[rows]]
+            left += (own * c[:, None]).T @ own
+            right += own.T @ (c * labels[rows][inside[rows]])
+        w = np.linalg.solve(left, right)
         after = labels * (x @ w) < 1
         if (after == inside).all():
             break
@@ -236,8 +242,8 @@ def trained(pieces: list[str], labels: np.ndarray, weights: np.ndarray, landmark
 
     def kernel(words: list[str]) -> np.ndarray:
         rows = []
-        for i in range(0, len(words), 256):
-            p, w = subsequences(words[i : i + 256])
+        for i in range(0, len(words), 64):
+            p, w = subsequences(words[i : i + 64])
             found = np.searchsorted(columns, p).clip(max=len(columns) - 1)
             found = np.where(columns[found] == p, found, len(columns))
             rows.append(np.einsum("nf,nfm->nm", w, table[found]))
@@ -246,7 +252,7 @@ def trained(pieces: list[str], labels: np.ndarray, weights: np.ndarray, landmark
     values, vectors = np.linalg.eigh(kernel(landmarks).astype(float))
     kept = values > 1e-6 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
-    w = machine(kernel(pieces).astype(float) @ whiten, labels, weights)
+    w = machine(kernel(pieces) @ whiten.astype(np.float32), labels, weights)
     folded = table[:-1].astype(float) @ (whiten @ w[:-1])
     return Model(columns, folded.astype(np.float32), float(w[-1]), 1.0, 0.0)
 
@@ -266,18 +272,23 @@ def logistic_curve(values: np.ndarray, labels: np.ndarray) -> tuple[float, float
     return max(slope, 1e-3), shift
 
 
-def fit(rows: list[tuple[int, list[str]]]) -> Model | None:
-    """The model of documents given as (label, distinct tokens); None if one label is missing."""
+def fit(rows: Iterable[tuple[int, list[str]]]) -> Model | None:
+    """The model of documents given as (label, distinct tokens), in any order; None if one label is missing."""
     rng = np.random.default_rng(7)
-    toxic = np.array([label for label, _ in rows], int)
+    number: dict[str, int] = {}
+    read = []
+    for label, tokens_of_row in rows:
+        forms = {f for w in tokens_of_row for f in {_outside("", w), _not_letters("", w)} if len(f) >= 3}
+        read.append((label, np.array([number.setdefault(f, len(number)) for f in forms], np.int32)))
+    # Numbers by the words' order, documents by their words: the same whatever the order of the rows.
+    words = sorted(number)
+    place = np.empty(len(words), np.int32)
+    place[[number[w] for w in words]] = np.arange(len(words))
+    del number
+    read = sorted(((label, np.sort(place[d])) for label, d in read), key=lambda r: (r[0], r[1].tobytes()))
+    toxic, docs = np.array([label for label, _ in read], int), [d for _, d in read]
     if not 0 < toxic.sum() < len(toxic):
         return None
-    number: dict[str, int] = {}
-    docs = []
-    for _, words in rows:
-        forms = {f for w in words for f in {_outside("", w), _not_letters("", w)} if len(f) >= 3}
-        docs.append(np.array(sorted(number.setdefault(f, len(number)) for f in forms), int))
-    words = [*number]
     pieces = [f"^{w}$"[:PIECE] for w in words]
     bound = evidence(docs, toxic, words)
     bad_docs = [d for d, t in zip(docs, toxic) if t and len(d)]
@@ -335,8 +346,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
     sample = F.broadcast(chosen[0].union(chosen[1]))  # at most CLEAN_DOCS + TOXIC_DOCS rows
     short = docs.select("doc_id", "text").where(F.length("text") <= FIT_CHARS)
     lowered = F.array_distinct(F.split(F.lower("text"), r"\s+"))
-    rows = short.join(sample, "doc_id").select("doc_id", "toxic", lowered.alias("words")).collect()
-    return fit([(r.toxic, r.words) for r in sorted(rows, key=lambda r: (r.doc_id, r.toxic, len(r.words)))])
+    rows = short.join(sample, "doc_id").select("toxic", F.array_join(lowered, " ").alias("words"))
+    return fit((r.toxic, r.words.split(" ")) for r in rows.toLocalIterator())
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
