@@ -139,7 +139,8 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int =
     todo = rows.where(F.col("length") < capacity)
     done = full
     for turn in range(rounds + 1):
-        parts = max(1, -(-todo.count() // partition_pieces))
+        # What is given up is far less than all, so those who exchange meet in as few, full-sized groups as can be.
+        parts = max(1, -(-todo.count() // (max(partition_pieces, PARTITION_PIECES) if turn else partition_pieces)))
         spread = F.xxhash64("old") if turn else F.xxhash64("pack_row")
         dealt = todo.withColumn("part", F.pmod(spread, F.lit(parts)).cast("long"))
         out = staged(dealt.groupBy("part").applyInPandas(_pack(capacity, turn < rounds), _PACKED), f"pack-{turn}")
