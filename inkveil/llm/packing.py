@@ -5,7 +5,9 @@ partitions of bounded size, and each partition packs its pieces best-fit
 decreasing.  Dual feasible functions give a lower bound of the bins that any
 packing of the same pieces needs.  A partition that meets its bound is done,
 certified.  A partition with a gap gives up bins, the emptiest first; their
-pieces meet those of other partitions and are packed again.  A repacking counts
+pieces meet those of other partitions and are packed again.  Certified ones give
+up their emptiest bin alone, as dealing into partitions leaves one bin half
+filled in each.  A repacking counts
 only where it needs fewer bins, so rounds never make things worse.
 
 Edge cases: a NULL text is empty and still yields its end token; repeated rows
@@ -124,7 +126,7 @@ def _pack(capacity: int, release: bool):
         gap = len(bins) - lower_bound(lengths, capacity)
         given = np.zeros(len(bins), bool)
         if release:
-            given[np.argsort(fill, kind="stable")[: RELEASE * gap]] = True
+            given[np.argsort(fill, kind="stable")[: max(1, RELEASE * gap)]] = True
         return group.assign(bin=number, offset=offset, gap=gap, released=given[number]).drop(columns="old", errors="ignore")
 
     return pack
