@@ -164,7 +164,9 @@ def estimate_fails(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int) -> bo
         union = union[:SKETCH]
     both = len(np.intersect1d(np.intersect1d(a, union, assume_unique=True), b, assume_unique=True))
     share, t = both / len(union), PERCENT / 100
-    margin = 0.0 if whole else ERRORS * (t * (1 - t) / len(union)) ** 0.5
+    # The smallest hashes of the union are drawn from it without putting back; at the threshold it has so many.
+    left = max(0.0, 1 - len(union) * (1 + t) / (size_a + size_b))
+    margin = 0.0 if whole else ERRORS * (t * (1 - t) * left / len(union)) ** 0.5 + 1 / len(union)
     return share < t - margin - 1e-12
 
 
@@ -299,15 +301,15 @@ def near_links(nodes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text:
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
     of_list = Window.partitionBy("key")
     members = staged(
-        nodes.select("node", F.explode(_list_keys(hot_values(nodes))).alias("key"))
+        nodes.select("node", "n_shingles", F.explode(_list_keys(hot_values(nodes))).alias("key"))
         .withColumn("first", F.min("node").over(of_list)).withColumn("last", F.max("node").over(of_list))
-        .where("first < last").select("key", "node", "first"),
+        .where("first < last").select("key", "node", "n_shingles", "first"),
         "near-lists",
     )
     pairs = staged(ordered(members.select(F.col("first").alias("x"), F.col("node").alias("y"))), "near-stars")
     links = staged(_verified(pairs, nodes, texts), "near-first")
     # What the stars left open: lists with members in several components.
-    placed = members.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.join(components(links), "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     several = F.min("component").over(of_list) < F.max("component").over(of_list)
     open_lists = staged(placed.withColumn("several", several).where("several").drop("several"), "near-open")
     more = staged(_verified(across(open_lists).join(pairs, ["a", "b"], "left_anti"), nodes, texts), "near-second")
@@ -319,13 +321,19 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame) -> DataFrame:
-    """Distinct pairs of members of one list (``key``) that are in different components, in blocks of bounded size."""
+    """Distinct pairs of members of one list (``key``) in different components whose set sizes allow a link, in blocks of bounded size."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     cut = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = cut.select("key", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    x = left.select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.col("node").alias("x"), F.col("component").alias("cx"))
-    y = left.select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.col("node").alias("y"), F.col("component").alias("cy"))
-    return ordered(x.where("i <= j").join(y.where("i <= j"), ["key", "i", "j"]).where("cx <> cy AND x <> y").select("x", "y"))
+    left = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def side(i: str, j: str, name: str) -> DataFrame:
+        return left.select(
+            "key", F.col(i).alias("i"), F.col(j).alias("j"), F.col("node").alias(name),
+            F.col("component").alias(f"c{name}"), F.col("n_shingles").alias(f"n{name}"),
+        ).where("i <= j")
+
+    met = side("own", "other", "x").join(side("other", "own", "y"), ["key", "i", "j"])
+    return ordered(met.where(f"cx <> cy AND x <> y AND 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)").select("x", "y"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
