@@ -103,7 +103,7 @@ def _(spark, sf_dir):
 @register(
     "S2_relational_cells",
     "SELECT c_custkey, 0 AS para_id, 'column[c_name]' AS context, c_name AS text FROM customer"
-    " UNION ALL SELECT c_custkey, 0, 'column[c_mktsegment]', c_mktsegment FROM customer",
+    " UNION ALL SELECT c_custkey, 1, 'column[c_mktsegment]', c_mktsegment FROM customer",
 )
 def _(spark, sf_dir):
     return par.relational_cells(read_table(spark, sf_dir, "customer"), ["c_custkey"], ["c_name", "c_mktsegment"])
@@ -126,9 +126,9 @@ def nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     " UNION ALL ".join(
         f"SELECT o_orderkey, {p} AS para_id, '{context}' AS context, {text} AS text FROM orders"
         for p, context, text in [
-            (0, "table[0][0,0]", "'Order'"), (0, "table[0][0,1]", "CAST(o_orderkey AS VARCHAR)"),
-            (0, "table[0][1,0]", "'Status'"), (0, "table[0][1,1]", "o_orderstatus"),
-            (0, "table[1][0,0]", "'Priority'"), (1, "table[1][0,0]", "o_orderpriority"),
+            (0, "table[0][0,0]", "'Order'"), (1, "table[0][0,1]", "CAST(o_orderkey AS VARCHAR)"),
+            (2, "table[0][1,0]", "'Status'"), (3, "table[0][1,1]", "o_orderstatus"),
+            (4, "table[1][0,0]", "'Priority'"), (5, "table[1][0,0]", "o_orderpriority"),
         ]
     ),
 )
@@ -177,15 +177,40 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+_WHOLE_DOCUMENT = (
+    "SELECT doc_id, para_id, 'body' AS context, text FROM doc_paras"
+    " UNION ALL SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT), 'table[0][0,0]', lang FROM documents"
+    " UNION ALL SELECT doc_id, CAST(len(string_split(text, chr(10))) + 1 AS INT), 'table[0][0,1]', source FROM documents"
+)
+
+
+@register("S1_S2_whole_document", o.with_query(_WHOLE_DOCUMENT, o.DOC_PARAGRAPHS))
+def _(spark, sf_dir):
+    """Body first, then the cells of one table that holds the other columns."""
+    documents = read_table(spark, sf_dir, "documents")
+    tables = F.array(F.array(F.array("lang", "source"))).alias("tables")
+    return par.document_paragraphs(documents.select("doc_id", "text", tables), ["doc_id"])
+
+
 @register(
-    "S4_docx_paragraphs",
-    o.with_query(
-        "SELECT doc_id, para_id, 'body' AS context, text FROM doc_paras"
-        " UNION ALL SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT), 'table[0][0,0]', lang FROM documents"
-        " UNION ALL SELECT doc_id, CAST(len(string_split(text, chr(10))) + 1 AS INT), 'table[0][0,1]', source FROM documents",
-        o.DOC_PARAGRAPHS,
-    ),
+    "S4_broken_files",
+    "SELECT doc_id, doc_id % 3 = 0 AS broken, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE len(string_split(text, chr(10))) + 2 END AS n_rows"
+    " FROM documents",
 )
+def _(spark, sf_dir):
+    """Every third file damaged in the middle: it gives an error row, the others their paragraphs."""
+    packed = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").mapInArrow(
+        _pack, "path string, content binary"
+    )
+    number = F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("bigint")
+    damaged = F.expr("concat(substring(content, 1, 60), X'FFFFFFFFFFFFFFFF', substring(content, 69))")
+    files = packed.withColumn("content", F.when(number % 3 == 0, damaged).otherwise(F.col("content")))
+    return uploads.docx_paragraphs(files).groupBy(number.alias("doc_id")).agg(
+        F.max(F.col("error").isNotNull()).alias("broken"), F.count("*").alias("n_rows")
+    )
+
+
+@register("S4_docx_paragraphs", o.with_query(_WHOLE_DOCUMENT, o.DOC_PARAGRAPHS))
 def _(spark, sf_dir):
     """Every document packed as a Word file by its task, then read back."""
     files = (
@@ -795,7 +820,7 @@ def _(spark, sf_dir):
 @register(
     "G_DIST_distinct_values",
     o.with_query(
-        "SELECT trim(v) AS value, arg_min(category, (src, id, para, s)) AS entity_type, count(*) AS n FROM ents GROUP BY trim(v)",
+        "SELECT regexp_replace(v, '^[\\s\\p{Z}\\x{85}]+|[\\s\\p{Z}\\x{85}]+$', '', 'g') AS value, arg_min(category, (src, id, para, s)) AS entity_type, count(*) AS n FROM ents GROUP BY 1",
         *o.entities("all"),
     ),
 )

@@ -175,6 +175,7 @@ SUSPECT_VALUES = (
 DOCX_SUFFIX = ".docx"
 DOCX_MAX_BYTES = 25 * 1024 * 1024
 DOCX_MAGIC_HEX = "504B0304"
+DOCX_MAX_UNPACKED = 256 * 1024 * 1024
 
 # --------------------------------------------------------------------------
 # FIXED VALUES - logs and reports

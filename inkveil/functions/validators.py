@@ -74,10 +74,15 @@ def blocked_value(entity_type: str, value: str) -> str:
     )
 
 
+def stripped(value: str) -> str:
+    """``value`` without white space of any kind at its ends."""
+    return f"regexp_replace({value}, {quote(r'(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$')}, '')"
+
+
 def suspect_reason(value: str) -> str:
     """Why a detected value is likely no personal data; NULL if it may be."""
     cases = " ".join(
-        f"WHEN trim({value}) RLIKE {quote(pattern)} THEN {quote(reason)}"
+        f"WHEN {stripped(value)} RLIKE {quote(pattern)} THEN {quote(reason)}"
         for pattern, reason in fixed.SUSPECT_VALUES
     )
     return f"CASE {cases} END"

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from inkveil.functions.validators import suspect_reason
+from inkveil.functions.validators import stripped, suspect_reason
 
 
 def total_entities(entities: DataFrame) -> DataFrame:
@@ -57,13 +57,13 @@ def run_summary(annotated: DataFrame, categories: Sequence[str]) -> DataFrame:
 
 
 def distinct_values(entities: DataFrame, order: Sequence[str]) -> DataFrame:
-    """One row per trimmed value; its category is that of the first record.
+    """One row per value without outer white space; its category is that of the first record.
 
     A minimum over a struct combines on the map side; a window over the value
     would pull all rows of a frequent value into one task.
     """
     first = F.min(F.struct(*order, "entity_type"))["entity_type"]
-    return entities.groupBy(F.trim("original_text").alias("value")).agg(
+    return entities.groupBy(F.expr(stripped("original_text")).alias("value")).agg(
         first.alias("entity_type"), F.count(F.lit(1)).alias("n")
     )
 

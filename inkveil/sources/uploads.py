@@ -39,7 +39,13 @@ def quarantined(checked: DataFrame) -> DataFrame:
     return checked.where("reason IS NOT NULL").select("path", "length", "reason")
 
 
-_MARKS = {_W + "tab": "\t", _W + "br": "\n", _W + "cr": "\n", _W + "noBreakHyphen": "-"}
+_MARKS = {_W + "tab": "\t", _W + "cr": "\n", _W + "noBreakHyphen": "-"}
+
+
+def _run_part(n: ElementTree.Element) -> str:
+    if n.tag == _W + "br":  # page and column breaks are no line breaks
+        return "\n" if n.get(_W + "type", "textWrapping") == "textWrapping" else ""
+    return (n.text or "") if n.tag == _W + "t" else _MARKS.get(n.tag, "")
 
 
 def _text(paragraph: ElementTree.Element) -> str:
@@ -47,7 +53,7 @@ def _text(paragraph: ElementTree.Element) -> str:
     runs = paragraph.findall(_W + "r") + paragraph.findall(_W + "hyperlink/" + _W + "r")
     order = {id(e): i for i, e in enumerate(paragraph.iter())}
     parts = (n for run in sorted(runs, key=lambda r: order[id(r)]) for n in run)
-    return "".join((n.text or "") if n.tag == _W + "t" else _MARKS.get(n.tag, "") for n in parts)
+    return "".join(map(_run_part, parts))
 
 
 def _cells(table: ElementTree.Element) -> Iterator[tuple[int, int, ElementTree.Element]]:
@@ -68,7 +74,11 @@ def _cells(table: ElementTree.Element) -> Iterator[tuple[int, int, ElementTree.E
 def _paragraphs(content: bytes) -> Iterator[tuple[str, str]]:
     """Body paragraphs, then the paragraphs of each cell of top-level tables."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        body = ElementTree.fromstring(archive.read("word/document.xml")).find(_W + "body")
+        with archive.open("word/document.xml") as part:
+            xml = part.read(fixed.DOCX_MAX_UNPACKED + 1)
+    if len(xml) > fixed.DOCX_MAX_UNPACKED:
+        raise ValueError(f"document.xml has over {fixed.DOCX_MAX_UNPACKED} bytes")
+    body = ElementTree.fromstring(xml).find(_W + "body")
     for paragraph in body.findall(_W + "p"):
         yield "body", _text(paragraph)
     for t, table in enumerate(body.findall(_W + "tbl")):
@@ -84,7 +94,7 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for path, content in zip(batch.column(0), batch.column(1)):
             try:
                 found = [(i, c, t, None) for i, (c, t) in enumerate(_paragraphs(content.as_py()))]
-            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError) as e:
+            except Exception as e:  # whatever is wrong with one file must not end the job
                 found = [(None, None, None, f"{type(e).__name__}: {e}")]
             columns = list(zip(*found)) if found else [[], [], [], []]
             values = [[path.as_py()] * len(found), *columns]
@@ -95,6 +105,7 @@ def docx_paragraphs(files: DataFrame) -> DataFrame:
     """Paragraphs and cells of accepted files, one file at a time per task.
 
     Only unzipping and XML run in Python; the file source packs files into
-    bounded splits.  A broken file yields one row with ``error`` set.
+    bounded splits.  A broken file, or one whose text unpacks to more than
+    ``DOCX_MAX_UNPACKED`` bytes, yields one row with ``error`` set.
     """
     return files.select("path", "content").mapInArrow(_read_batches, PARAGRAPHS)

@@ -20,25 +20,32 @@ def arriving_documents(spark: SparkSession, folder: str, schema: str = DOCUMENTS
 
 
 def redact_stream(
-    documents: DataFrame, keys: Sequence[str], folder: str, checkpoint: str, log_options: dict | None = None, **options
+    documents: DataFrame, keys: Sequence[str], folder: str, checkpoint: str, log_options: dict | None = None,
+    trigger: dict | None = None, **options,
 ) -> StreamingQuery:
     """Write redacted paragraphs and the log of each micro-batch.
 
     The transform keeps no state: equal values get equal replacements by
     hash.  Each batch writes to its own partition and overwrites it when the
-    batch is repeated after a failure, so nothing is lost or doubled.
+    batch is repeated after a failure, so nothing is lost or doubled.  The
+    partition also carries the query's id, which lives in the checkpoint: a new
+    checkpoint never overwrites what another one wrote.  ``trigger`` holds the
+    options of ``DataStreamWriter.trigger``; by default all that has arrived is
+    taken and the query ends.
     """
     rows = redact(body_paragraphs(documents, keys), **options)
     paragraph = [*keys, "para_id"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        place = f"run={run}/batch_id={batch_id}"
         batch = batch.persist()
         try:
             batch.select(*paragraph, "context", F.col("redacted").alias("text")).write.mode("overwrite").parquet(
-                f"{folder}/redacted/batch_id={batch_id}"
+                f"{folder}/redacted/{place}"
             )
             redaction_log(batch, paragraph, **(log_options or {})).write.mode("overwrite").parquet(
-                f"{folder}/log/batch_id={batch_id}"
+                f"{folder}/log/{place}"
             )
         finally:
             batch.unpersist()
@@ -46,6 +53,6 @@ def redact_stream(
     return (
         rows.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
