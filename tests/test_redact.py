@@ -222,3 +222,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert streamed.count() == 60
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
     assert spark.read.parquet(f"{out}/log").count() == 40
+
+
+def test_a_new_checkpoint_keeps_earlier_output(spark, tmp_path):
+    schema = "doc_id bigint, text string"
+    spark.createDataFrame([(1, "Mail a@b.org\nno"), (2, None)], schema).write.parquet(str(tmp_path / "in"))
+    for run in "ab":
+        stream = arriving_documents(spark, str(tmp_path / "in"), schema)
+        redact_stream(stream, ["doc_id"], str(tmp_path / "out"), str(tmp_path / run), trigger={"availableNow": True}).awaitTermination()
+    done = spark.read.parquet(str(tmp_path / "out" / "redacted"))
+    assert done.count() == 6
+    runs = {r.run for r in done.select("run").distinct().collect()}
+    assert len(runs) == 2 and "None" not in runs
