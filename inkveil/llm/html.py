@@ -3,12 +3,14 @@
 1. Each page is read once into blocks of text, each with its chain of elements.
    Elements are named by tag and first class, digits generalised, so that
    ``post-17`` and ``post-18`` are one.  Every container gets the text of its
-   blocks, less what is links, and passes half of it up; the best one is the
-   page's vote.
+   blocks, less what is links, and passes half of it up.  From the best one the
+   page climbs while the container above holds only more text (``widened``);
+   where that ends is the page's vote.
 2. Spark counts the votes per host and path.  A path with at least
    ``WINNING_SHARE`` of a host's votes wins; hosts may have several layouts.
 3. Each page is read again: its text is what lies in its best container among
-   the winning paths, or in its own best one if it has none of them.  Menus,
+   the winning paths, or in its own best one if it has none of them, widened
+   again, with parts beside it that are text.  Menus,
    headers, footers, sidebars, notices, adverts, forms and comments are left
    out wherever they stand.
 
@@ -31,6 +33,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from inkveil.llm.common import batch_udf, small_or_all, staged
 
 WINNING_SHARE = 0.1
+# Characters of a block that make a part beside the best container text, and the
+# share of that container's text that a part needs where it stands in the body.
+PARAGRAPH, BESIDE = 80, 0.2
 
 # Elements whose content is no text, or never part of an article.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
@@ -191,7 +196,7 @@ def holder(element: Element | None) -> Element | None:
 
 
 def best_container(blocks: list[Block], containers: list[Element], allowed: set[str] | None = None) -> Element | None:
-    """The container with the highest score; ties to the first.  ``allowed`` limits the paths."""
+    """The container with the highest score, not widened; ties to the first.  ``allowed`` limits the paths."""
     for element in containers:
         element.score = 0.0
     for block in blocks:
@@ -204,14 +209,61 @@ def best_container(blocks: list[Block], containers: list[Element], allowed: set[
             element = holder(element.up)
     weight = {"article": 3.0, "main": 2.5}
     chosen = [e for e in containers if e.score > 0 and (allowed is None or e.path in allowed)]
-    best = max(chosen, key=lambda e: e.score * weight.get(e.tag, 1.0), default=None)
-    if best is None or allowed is not None:
-        return best
-    while (above := holder(best.up)) is not None and above.tag not in ("html", "body") and best.tag not in weight:
-        if any(inside(b.element, above) and not inside(b.element, best) and b.element.tag not in HEADINGS and clean(b) for b in blocks):
+    return max(chosen, key=lambda e: e.score * weight.get(e.tag, 1.0), default=None)
+
+
+def below(element: Element | None, above: Element) -> Element | None:
+    """The child of ``above`` that an element lies in, the element itself if that is ``above``; None if outside."""
+    child = element
+    while element is not None:
+        if element is above:
+            return child
+        child, element = element, element.up
+    return None
+
+
+def widened(best: Element, blocks: list[Block]) -> tuple[Element, list[Block]]:
+    """The container around ``best`` that holds the whole text, and blocks beside it that are text, too.
+
+    It climbs while all else in the container above is text: what isn't mostly
+    links, with a block of ``PARAGRAPH`` characters in each part, or anything not
+    mostly links inside an article or ``main``.  An article is left for a ``main``
+    around it only.  Nothing climbs to the body; of other parts, also of the
+    body's, those that are text are taken in alone.
+    """
+    at, beside = best, []
+    said = [(b, len(t), min(b.linked, len(t))) for b in blocks if (t := clean(b))]
+    least = BESIDE * sum(n - linked for b, n, linked in said if inside(b.element, best))
+    while at.tag not in ("html", "body", "main"):
+        outer = [at]
+        while outer[-1].up is not None:
+            outer.append(outer[-1].up)
+        if at.tag == "article" and all(e.tag != "main" for e in outer):
             break
-        best = above
-    return best
+        above = holder(at.up) or outer[-1]
+        parts: dict[int, list[tuple[Block, int, int]]] = {}
+        for b, n, linked in said:
+            if (child := below(b.element, above)) is not None and not inside(b.element, at):
+                # Blocks that stand in ``above`` itself are parts of their own.
+                parts.setdefault(id(b) if child is above else id(child), []).append((b, n, linked))
+        parts = {k: v for k, v in parts.items() if any(b.element.tag not in HEADINGS for b, _, _ in v)}
+        whole = above.up is not None and above.tag not in ("html", "body")
+
+        def is_text(part: list[tuple[Block, int, int]]) -> bool:
+            size, linked = sum(n for _, n, _ in part), sum(x for _, _, x in part)
+            return 4 * linked <= size and any(n >= PARAGRAPH for b, n, _ in part if b.element.tag not in HEADINGS) and (whole or size - linked >= least)
+
+        texts = [v for v in parts.values() if is_text(v)]
+        marked = at.tag != "article" and any(e.tag in ("article", "main") for e in outer[1:])
+        loose = marked and 2 * sum(x for v in parts.values() for _, _, x in v) < sum(n for v in parts.values() for _, n, _ in v)
+        if whole and best is at and (loose or len(texts) == len(parts)):
+            best, beside = above, []
+        else:
+            beside += [b for v in texts for b, _, _ in v]
+        at = above
+        if not whole:
+            break
+    return best, beside
 
 
 def inside(element: Element | None, container: Element) -> bool:
@@ -224,8 +276,11 @@ def inside(element: Element | None, container: Element) -> bool:
 
 def vote(html: str | None) -> str | None:
     """The path of a page's best container."""
-    best = best_container(*blocks_of(html)) if html else None
-    return best.path if best else None
+    if not html:
+        return None
+    blocks, containers = blocks_of(html)
+    best = best_container(blocks, containers)
+    return widened(best, blocks)[0].path if best else None
 
 
 def extract(html: str | None, winners: list[str] | None) -> str:
@@ -235,8 +290,9 @@ def extract(html: str | None, winners: list[str] | None) -> str:
     blocks, containers = blocks_of(html)
     best = (best_container(blocks, containers, set(winners)) if winners else None) or best_container(blocks, containers)
     if best is not None:
-        paths = {best.path}
-        within = {id(e) for e in containers if e.path in paths}
+        best, beside = widened(best, blocks)
+        within = {id(e) for e in containers if e.path == best.path}
+        taken = {id(b) for b in beside}
 
         def kept(element: Element | None) -> bool:
             while element is not None:
@@ -245,7 +301,7 @@ def extract(html: str | None, winners: list[str] | None) -> str:
                 element = element.up
             return False
 
-        blocks = [b for b in blocks if kept(b.element)]
+        blocks = [b for b in blocks if id(b) in taken or kept(b.element)]
     return "\n".join(text for b in blocks if (text := clean(b)))
 
 

@@ -240,6 +240,35 @@ def test_html():
     assert html.extract(None, None) == html.extract("", []) == "" and html.extract("plain <b", None) == "plain"
 
 
+def test_html_article_in_several_containers(spark):
+    lead, body = ("<p>" + f"{w} " * 100 + "</p>" for w in ("leading", "another"))
+    body *= 4
+    links = '<div class="more">' + '<p><a href="/x">further pages to read here</a></p>' * 9 + "</div>"
+    both = f'<div class="lead">{lead}</div><div class="body">{body}</div>'
+    sections = "".join(f'<div class="s-{k}">{"<p>" + k * 50 + "</p>"}</div>' for k in "abc") + f'<div class="long">{body}</div>'
+    for page, path in (
+        (f'<body><div class="page">{both}</div>{links}</body>', "/body/div.page"),
+        (f'<body><article><div class="post">{both}</div></article>{links}</body>', None),
+        (f"<body><article><div>{sections}</div></article>{links}</body>", None),
+        (f"<body><main>{both}</main>{links}</body>", None),
+        (f'<body><main><div class="lead">{lead}</div><article>{body}</article></main>{links}</body>', None),
+        (f'<body><div class="page">{both}{links}</div></body>', None),
+        (f"<body>{both}{links}</body>", None),
+        (f"{both}{links}", None),
+    ):
+        wanted = ["leading"] if "lead" in page else ["a" * 50, "b" * 50, "c" * 50]
+        for winners in (None, [html.vote(page)], ["/body/div.page/div.body", "/body/article/div.post/div.body"]):
+            text = html.extract(page, winners)
+            assert all(w in text for w in wanted) and text.count("another") == 400 and "further" not in text, (page[:60], winners)
+        assert path is None or html.vote(page) == path
+    # A host whose winning path is a child of one page's container.
+    rows = [(i, "https://h.example/", f'<body><div class="page"><div class="body">{body}</div><ul>{links}</ul></div></body>') for i in range(9)]
+    rows.append((9, "https://h.example/", f'<body><div class="page">{both}</div></body>'))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r.main_text for r in html.main_texts(pages, html.host_of(F.col("url"))).collect()}
+    assert texts[9].count("leading") == 100 and all(t.count("another") == 400 and "further" not in t for t in texts.values())
+
+
 def test_pages(spark, sf_dir):
     rows = queries.op10_host_path_text(spark, sf_dir).collect()
     assert len(rows) == 50 and all(r.text and "©" not in r.text and "track(" not in r.text for r in rows)
