@@ -12,7 +12,9 @@
    the winning paths, or in its own best one if it has none of them, widened
    again, with parts beside it that are text.  Menus,
    headers, footers, sidebars, notices, adverts, forms and comments are left
-   out wherever they stand.
+   out wherever they stand: by tag, or by a whole name in class, id or role
+   (``sidebar``, ``site-header``, not ``has-sidebar``).  A name doesn't count on
+   what holds the ``main`` or most of the page's text (``read_again``).
 
 Edge cases: NULL or empty html gives an empty text; pages without a host (NULL
 or odd urls) share one; pages cut off anywhere are read to their end; a page
@@ -22,6 +24,7 @@ vote each; an empty table gives an empty result; extra columns pass through.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -60,6 +63,24 @@ MARKS = set(
     " replies share sharing social related recommended recommendations pagination pager toolbar login search hidden".split()
 )
 COMMENTS = {"comment", "comments", "disqus", "replies"}
+# Marks of what is never an article, however long it is.
+APART = COMMENTS | set(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs pagination pager share sharing promo promoted promotion sponsor sponsored cookie cookies consent gdpr popup modal"
+    " newsletter subscribe subscription signup related recommended recommendations".split()
+)
+# Words that can stand before and after a mark in one name: ``site-header``, ``comment-list``.
+BEFORE = set(
+    "site page main primary secondary tertiary top bottom left right global local sub user blog post posts article entry content section"
+    " story news mobile desktop sticky fixed floating inline side web app wp block td js google dfp the my mega drop dropdown off canvas email"
+    " mail legal privacy eu push in".split()
+)
+AFTER = set(
+    "primary secondary left right top bottom list lists item items box boxes area block blocks bar bars slot slots unit units section sections"
+    " wrap wrapper wrappers container containers inner outer holder row rows column link links icon icons button buttons btn form field input"
+    " thread threads body text title heading content contents meta count counter template label leaderboard zone space frame iframe image"
+    " images panel pane group post posts article articles story stories stack strip tray toggle message messages dialog window prompt policy"
+    " trail nav logo brand reply respond desktop mobile".split()
+)
 KEPT_WHATEVER = {"html", "body", "main"} | HEADINGS
 
 _TOKEN = re.compile(
@@ -79,6 +100,9 @@ class Element:
     link: bool
     score: float = 0.0
     extra: int = 0  # characters in blocks that are no headings
+    mark: Element | None = None  # the nearest element, itself included, that its name marks as boilerplate
+    apart: int = 0  # 1: marked as what is never an article, 2: as comments
+    has_main: bool = False  # of a marked element: a ``main`` lies in it
 
 
 @dataclass(slots=True)
@@ -86,21 +110,87 @@ class Block:
     element: Element
     text: list[str] = field(default_factory=list)
     linked: int = 0
+    cleaned: str | None = None
 
 
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if text and "=" in text or "hidden" in text else {}
 
 
-def is_boilerplate(tag: str, given: dict[str, str]) -> bool:
-    if tag in DROPPED:
-        return True
+@functools.lru_cache(maxsize=65536)
+def marks_of(name: str) -> frozenset[str]:
+    """The marks in a class, id or role: the whole name, or a compound of marks with ``BEFORE`` and ``AFTER`` words.
+
+    Names of layout and state (``has-sidebar``, ``overflow-hidden``, ``search-results``) have none.
+    """
+    if re.search(r"[^\w-]", name):  # ``md:hidden`` holds under a condition
+        return frozenset()
+    parts = [w for p in _PARTS.findall(name) if len(w := p.lower()) > 1]
+    at = [i for i, w in enumerate(parts) if w in MARKS]
+    if not at or any(w not in BEFORE and w not in MARKS for w in parts[: at[0]]) or any(w not in AFTER and w not in MARKS for w in parts[at[0] :]):
+        return frozenset()
+    return frozenset(parts[i] for i in at) if len(at) < 2 or parts[-1] != "hidden" else frozenset(["hidden"])
+
+
+def is_dropped(tag: str, given: dict[str, str]) -> bool:
+    """Boilerplate by its tag, or hidden."""
+    return tag in DROPPED or tag not in KEPT_WHATEVER and ("hidden" in given or given.get("aria-hidden") == "true")
+
+
+def marks(tag: str, given: dict[str, str]) -> set[str]:
+    """The words in class, id and role that mark an element as boilerplate."""
     if not given or tag in KEPT_WHATEVER:
-        return False
-    if "hidden" in given or given.get("aria-hidden") == "true":
-        return True
-    words = {w.lower() for key in ("class", "id", "role") for w in _PARTS.findall(given.get(key, ""))}
-    return bool(words & (COMMENTS if tag == "article" else MARKS))
+        return set()
+    found = {m for key in ("class", "id", "role") for name in given.get(key, "").split() for m in marks_of(name)}
+    return found & COMMENTS if tag == "article" else found
+
+
+def read_again(blocks: list[Block], marked: list[Element]) -> set[int]:
+    """Marked elements that are read nevertheless, by ``id``.
+
+    Those that hold a ``main`` or more unlinked text than all else that is read,
+    articles counting threefold, unless they are ``APART``.  While a page has no
+    text, the outermost one with most of it; text that is ``APART`` counts a
+    quarter there, and comments only if there is nothing else.
+    """
+    read: set[int] = set()
+    for e in marked:
+        outer = []
+        while e is not None:
+            outer.append(e)
+            e = e.up.mark if e.up is not None else None
+        if outer[0].has_main and not any(o.apart for o in outer):
+            read.update(id(o) for o in outer)
+    weighed = []  # unlinked text, and the marked elements it lies in, from the outermost
+    for block in blocks:
+        size, e, chain = len(clean(block)), block.element, []
+        gain = max(0.0, size - 2.0 * min(block.linked, size))
+        mark = e.mark
+        while mark is not None:
+            chain.append(mark)
+            mark = mark.up.mark if mark.up is not None else None
+        while e is not None and e.tag != "article":
+            e = e.up
+        weighed.append((gain * (3 if e is not None else 1), chain[::-1]))
+    while True:
+        seen, own, under = 0.0, dict.fromkeys(map(id, marked), 0.0), dict.fromkeys(map(id, marked), 0.0)
+        for gain, chain in weighed:
+            left = [e for e in chain if id(e) not in read]
+            if not left:
+                seen += gain
+            else:
+                under[id(left[0])] += gain
+                own[id(left[0])] += gain if len(left) == 1 else 0.0
+        closed = [e for e in marked if id(e) not in read]
+        if seen > 0:
+            most = max((e for e in closed if not e.apart), key=lambda e: own[id(e)], default=None)
+            if most is None or own[id(most)] <= seen:
+                return read
+        else:
+            most = max((e for e in closed if under[id(e)] > 0), key=lambda e: (e.apart < 2, under[id(e)] * (1 if e.apart else 4)), default=None)
+            if most is None:
+                return read
+        read.add(id(most))
 
 
 def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
@@ -110,6 +200,7 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
     block: Block | None = None
     blocks: list[Block] = []
     containers: list[Element] = []
+    marked: list[Element] = []
     size = len(html)
 
     def say(text: str) -> None:
@@ -168,24 +259,41 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
             name += "." + _DIGITS.sub("#", label[0])
         elif label := given.get("id", ""):
             name += "#" + _DIGITS.sub("#", label)
-        dropped = now.dropped or is_boilerplate(tag, given)
+        dropped = now.dropped or is_dropped(tag, given)
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(html, at)
             at = end.start() if end else size
             continue
         if match[3].endswith("/") and tag not in INLINE and tag not in LEAVES:
             continue
-        now = Element(tag, f"{now.path}/{name}", now, dropped, now.link or tag == "a")
+        now = Element(tag, f"{now.path}/{name}", now, dropped, now.link or tag == "a", mark=now.mark)
+        if not dropped and (tag == "main" or given.get("role") == "main") and now.mark is not None:
+            now.mark.has_main = True
+        elif not dropped and (found := marks(tag, given)):
+            now.mark, now.apart = now, 2 if found & COMMENTS else 1 if found & APART else 0
+            marked.append(now)
         if not inline and tag not in LEAVES and not dropped:
             containers.append(now)
     rest = html[at:]
     say(rest[: rest.rfind("<")] if re.search(r"<[/a-zA-Z!?][^>]*\Z", rest) else rest)
-    return blocks, containers
+    if not marked:
+        return blocks, containers
+    read = read_again(blocks, marked)
+
+    def is_read(element: Element) -> bool:
+        mark = element.mark
+        while mark is not None and id(mark) in read:
+            mark = mark.up.mark if mark.up is not None else None
+        return mark is None
+
+    return [b for b in blocks if is_read(b.element)], [e for e in containers if is_read(e)]
 
 
 def clean(block: Block) -> str:
     """Character references decoded, white space turned into single blanks."""
-    return " ".join(unescape("".join(block.text)).split())
+    if block.cleaned is None:
+        block.cleaned = " ".join(unescape("".join(block.text)).split())
+    return block.cleaned
 
 
 def holder(element: Element | None) -> Element | None:

@@ -269,6 +269,30 @@ def test_html_article_in_several_containers(spark):
     assert texts[9].count("leading") == 100 and all(t.count("another") == 400 and "further" not in t for t in texts.values())
 
 
+@pytest.mark.parametrize("name", [
+    "overflow-hidden", "content has-sidebar", "no-sidebar", "site header-fixed", "menu-open", "search-results", "social-layout", "hidden",
+    "search", "page-search", "sidebar-wrapper", "md:hidden", "newsletter",
+])
+def test_html_wrapper_names(name):
+    text = "<p>" + "word " * 60 + "</p>"
+    around = '<div class="comments"><p>remarks by readers</p></div><div class="site-header"><p>banner text</p></div><div id="main-nav">menu</div>'
+    for inner in (f"<article>{text}</article>", f"<main>{text}</main>", f'<div class="post">{text}</div>'):
+        # Boilerplate inside and outside is still left out.
+        for page in (f'<body><div class="{name}">{inner}{around}</div></body>', f'<body>{around}<div class="{name}">{inner}</div></body>'):
+            got = html.extract(page, None)
+            assert got == ("word " * 60).strip() and html.vote(page), (name, page, got)
+    hollow = f'<body><div class="{name}"><div class="overlay"><div class="x">{text}</div></div></div></body>'
+    assert html.extract(hollow, None) == ("word " * 60).strip()
+
+
+def test_html_boilerplate_names():
+    text = "<article><p>" + "word " * 20 + "</p></article>"
+    for name in ("comments", "comment-list", "commentList", "cookie-consent", "related-posts", "ad-slot-1", "newsletter_signup", "banner-300x250"):
+        page = f'<body>{text}<div class="{name}"><p>{"remark " * 90}</p></div></body>'
+        assert html.extract(page, None) == ("word " * 20).strip(), name
+    assert not html.marks("article", {"class": "post has-comments widget"}) and html.marks("article", {"class": "comment-item"})
+
+
 def test_pages(spark, sf_dir):
     rows = queries.op10_host_path_text(spark, sf_dir).collect()
     assert len(rows) == 50 and all(r.text and "©" not in r.text and "track(" not in r.text for r in rows)
