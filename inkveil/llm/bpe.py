@@ -7,8 +7,10 @@ there that is compatible with the last token of the prefix before it, where two
 tokens are compatible if encoding their joined text gives them back.  Only the
 prefixes within the longest token's length can still be continued; tokens that
 all of these have in common are stable and are emitted.  How far tokens can
-stay unstable is computed from the merge list (``lookahead``), so memory does
-not grow with the word or the text.
+stay unstable is computed from the merge list (``lookahead``); long words are
+read in windows of that many symbols, so that each window brings tokens that
+are final.  Which ones is still decided by the live prefixes, so ids never rest
+on the bound.  Decoding takes a bounded number of ids at a time.
 
 As the state after a prefix does not depend on what follows, words are taken in
 sorted order and share the states of common prefixes; results are remembered
@@ -35,8 +37,10 @@ import regex
 from pyspark.sql import Column, functions as F
 
 REMEMBERED = 500_000
-# Longer words are streamed, and their stable tokens are looked for after so many symbols.
-SHORT, FLUSH_EVERY = 256, 512
+# Longer words are streamed.
+SHORT = 256
+# So many ids are decoded at a time.
+DECODED = 1 << 14
 # Texts are encoded in groups of about so many characters.
 TOGETHER = 4_000_000
 # Stands for the begin of a word where a token is asked for.
@@ -157,10 +161,10 @@ class Transducer:
 
     def word(self, symbols: Iterable[str]) -> Iterator[int]:
         """Ids of one word of any length, emitted as soon as they are stable.  ``symbols`` are byte letters."""
-        source = iter(symbols)
-        text = "".join(itertools.islice(source, FLUSH_EVERY))  # what tokens may still reach back to
+        source, window = iter(symbols), self.lookahead
+        text = "".join(itertools.islice(source, window))  # what tokens may still reach back to
         last, sizes = [START], [0]
-        while more := "".join(itertools.islice(source, FLUSH_EVERY)):
+        while more := "".join(itertools.islice(source, window)):
             self._extend(text, len(text), last, sizes)
             stable = self._stable(sizes, range(max(1, len(text) - self._longest), len(text) + 1))
             if stable:
@@ -267,8 +271,14 @@ class Transducer:
 
     def decode(self, ids: bytes) -> str:
         """The pieces of the ids with a blank between them, as a tokenizer file without a decoder has it."""
+        return "".join(self.decode_steps(ids))
+
+    def decode_steps(self, ids: bytes) -> Iterator[str]:
+        """What ``decode`` gives, of ``DECODED`` ids at a time."""
         machine = PieceMachine(self.pieces)
-        return machine.feed(array("I", ids)) + machine.end()
+        for at in range(0, len(ids), 4 * DECODED):
+            yield machine.feed(array("I", ids[at : at + 4 * DECODED]))
+        yield machine.end()
 
 
 class PieceMachine:
@@ -362,8 +372,10 @@ def round_trip(text: Column, path: str) -> Column:
         machine = transducer(path)
 
         def row(ids: bytes) -> tuple[int, str, str]:
-            back = machine.decode(ids).encode("utf-8", "surrogatepass")
-            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
+            back = hashlib.sha256()
+            for step in machine.decode_steps(ids):
+                back.update(step.encode("utf-8", "surrogatepass"))
+            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), back.hexdigest()
 
         for batch in texts:
             yield pd.DataFrame([*map(row, machine.encode_all(batch))], columns=["n_tokens", "ids_sha256", "decoded_sha256"])

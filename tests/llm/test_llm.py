@@ -1,6 +1,7 @@
 """The training-data operators: SQL twins, brute force, round trips, held-out labels, odd inputs."""
 
 import hashlib
+import json
 import random
 import zlib
 from array import array
@@ -60,6 +61,66 @@ def test_bpe_streams_long_words():
     assert "".join(text.feed([i]) for i in ids) + text.end() == "naïve 漢字 ok "
 
 
+def test_bpe_lookahead_suffices(tmp_path):
+    """Small random merge lists: ids as by brute force, emitted early, and final after the lookahead."""
+    rng = random.Random(11)
+    for case in range(60):
+        merges, tokens = [], [*"abc"[: rng.randint(2, 3)]]
+        letters = "".join(tokens)
+        while len(merges) < rng.randint(2, 24):
+            pair = (rng.choice(tokens), rng.choice(tokens))
+            if pair not in merges and len("".join(pair)) <= 8 and "".join(pair) not in tokens:
+                merges.append(pair)
+                tokens.append("".join(pair))
+        vocabulary = {t: i for i, t in enumerate([*tokens, *(c + "</w>" for c in letters)])}
+        spec = {
+            "model": {"vocab": vocabulary, "merges": [" ".join(m) for m in merges], "end_of_word_suffix": "</w>"}, "added_tokens": [],
+            "pre_tokenizer": {"pretokenizers": [{"type": "Split", "pattern": {"Regex": r"\S+"}}]},
+        }
+        path = tmp_path / f"{case}.json"
+        path.write_text(json.dumps(spec))
+        machine = bpe.Transducer(str(path))
+        word = "".join(rng.choices(letters, k=400)) if case % 2 else "".join(rng.choices(tokens, k=150))
+        parts = [*word[:-1], word[-1] + "</w>"]
+        for merge in merges:
+            at = 0
+            while at < len(parts) - 1:
+                if (parts[at], parts[at + 1]) == merge:
+                    parts[at : at + 2] = ["".join(merge)]
+                at += 1
+        read, said, got = 0, 0, []
+
+        def symbols():
+            nonlocal read
+            for c in word:
+                read += 1
+                yield c
+
+        for i in machine.word(symbols()):
+            got.append(i)
+            assert read - said <= 4 * machine.lookahead, (case, read, said, machine.lookahead)
+            said += len(machine.pieces[i].removesuffix("</w>"))
+        assert got == [vocabulary[p] for p in parts]
+        # Where tokens begin and end up to ``n``, less the lookahead, is so whatever follows.
+        last, sizes = [bpe.START], [0]
+        machine._extend(word, len(word) - 1, last, sizes)
+        ends = [set()]
+        for n in range(1, len(last)):
+            ends.append(ends[n - sizes[n]] | {n})
+        for n in range(machine.lookahead, len(last)):
+            final = {p for p in ends[n] if p <= n - machine.lookahead}
+            assert all(final == {p for p in ends[k] if p <= n - machine.lookahead} for k in range(n, min(len(last), n + 60)))
+
+
+def test_bpe_decodes_in_steps(monkeypatch):
+    machine = bpe.transducer(PATH)
+    ids = machine.encode("naïve words and 漢字 again " * 9)
+    whole = " ".join(machine.pieces[i] for i in array("I", ids))
+    monkeypatch.setattr(bpe, "DECODED", 7)
+    steps = [*machine.decode_steps(ids)]
+    assert "".join(steps) == machine.decode(ids) == whole and len(steps) > len(ids) // 28
+
+
 def test_quality_by_brute_force():
     rng = random.Random(5)
     for _ in range(200):
