@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkveil.llm import bpe, chat, html, licences, mtree, near, packing, quality, ring, toxic
+from inkveil.llm import bpe, chat, html, licences, mtree, near, packing, pieces, quality, ring, toxic
 from inkveil.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 SHARDS = 16
 
 
@@ -87,7 +88,13 @@ def op10_host_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_transducer, op3_best_fit_packing, op4_minhash_near, op5_ring_shards, op6_mtree_top5, op7_chat_template, op8_licence_paragraphs, op9_string_kernel_toxicity, op10_host_path_text)}
+def op11_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trip = pieces.round_trip(F.col("text"), public_tokenizers.path(PIECES))
+    return docs.select("doc_id", trip.alias("t")).select("doc_id", "t.*")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_transducer, op3_best_fit_packing, op4_minhash_near, op5_ring_shards, op6_mtree_top5, op7_chat_template, op8_licence_paragraphs, op9_string_kernel_toxicity, op10_host_path_text, op11_prefix_table_pieces)}
 
 _SOFT = {
     "thin": "n_words < 20",
