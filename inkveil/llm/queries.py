@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkveil.llm import bpe, chat, html, licences, mtree, near, packing, pieces, quality, ring, toxic
+from inkveil.llm import bpe, chat, html, licences, mtree, near, packing, pieces, quality, ring, toxic, whitening
 from inkveil.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -94,7 +94,18 @@ def op11_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", trip.alias("t")).select("doc_id", "t.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_transducer, op3_best_fit_packing, op4_minhash_near, op5_ring_shards, op6_mtree_top5, op7_chat_template, op8_licence_paragraphs, op9_string_kernel_toxicity, op10_host_path_text, op11_prefix_table_pieces)}
+def op13_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("embedding"))
+    error = whitening.identity_error(rows.select("white.whitened"), len(model.components))
+    long = rows.select("vec_id", "white.deviation", F.posexplode("white.whitened").alias("place", "whitened"))
+    return long.select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(F.array(*map(F.lit, model.explained)).cast("array<double>"), "place").alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_transducer, op3_best_fit_packing, op4_minhash_near, op5_ring_shards, op6_mtree_top5, op7_chat_template, op8_licence_paragraphs, op9_string_kernel_toxicity, op10_host_path_text, op11_prefix_table_pieces, op13_exact_whitening)}
 
 _SOFT = {
     "thin": "n_words < 20",
