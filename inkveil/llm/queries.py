@@ -5,11 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkveil.llm import bpe, chat, html, licences, mtree, near, packing, pieces, quality, ring, toxic, whitening
+from inkveil.llm import alignment, bpe, chat, html, licences, mtree, near, packing, pieces, quality, ring, toxic, whitening
 from inkveil.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
-PIECES = "piece_bpe_32k.model"
+BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARDS = 16
 
 
@@ -94,6 +94,12 @@ def op11_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", trip.alias("t")).select("doc_id", "t.*")
 
 
+def op12_hashed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = alignment.aligned(docs, ["doc_id"], "text", public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, model = whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("embedding"))
     error = whitening.identity_error(rows.select("white.whitened"), len(model.components))
@@ -105,7 +111,7 @@ def op13_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_transducer, op3_best_fit_packing, op4_minhash_near, op5_ring_shards, op6_mtree_top5, op7_chat_template, op8_licence_paragraphs, op9_string_kernel_toxicity, op10_host_path_text, op11_prefix_table_pieces, op13_exact_whitening)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_transducer, op3_best_fit_packing, op4_minhash_near, op5_ring_shards, op6_mtree_top5, op7_chat_template, op8_licence_paragraphs, op9_string_kernel_toxicity, op10_host_path_text, op11_prefix_table_pieces, op12_hashed_alignment, op13_exact_whitening)}
 
 _SOFT = {
     "thin": "n_words < 20",
