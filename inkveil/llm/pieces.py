@@ -9,11 +9,12 @@ them.  So the table of last pieces is filled from left to right: an automaton
 over all pieces gives those that end at a place, the test on pairs (remembered)
 picks the one, and the ids are read backwards from the end of the table.
 
-A text is cut where no merge can cross: before a blank that follows something
-else, if no piece holds such a place, and around characters that occur in no
-piece, which become bytes.  Equal chunks are encoded once; what is remembered
-is bounded in bytes and dropped at the end of a task.  The table of a chunk of
-any length has four bytes a character.
+A text is cut where no merge can cross: between characters of kinds that no
+piece mixes, before a blank that follows something else, and around characters
+that occur in no piece, which become bytes.  Equal chunks are encoded once; what is remembered
+is bounded in bytes and dropped at the end of a task.  The table has one place
+a character, of the new chunks of about a million characters of texts or of one
+longer text.
 
 Edge cases: a NULL text is read as the empty one, which has no ids and decodes
 to the empty text; strings of control pieces inside a text are plain text;
@@ -29,13 +30,15 @@ import hashlib
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_file
 
+T = TypeVar("T")
 BLANK = "▁"
 # Chunks up to this length are remembered, up to so many bytes in two generations.
 SHORT, REMEMBERED = 64, 64 << 20
@@ -46,6 +49,50 @@ PAIRS = 400_000
 # So many ids are decoded at a time.
 DECODED = 1 << 14
 UNMADE = (-1.0, "", "")
+# Stands for the begin of a chunk in the table of prefixes: the id of unknown text, which no piece has.
+BEGIN = 0
+# Between chunks that are encoded together, in groups of texts of about so many characters.
+SEPARATOR, TOGETHER = "\n", 1 << 20
+
+
+def _cuts(pieces: Iterable[str]) -> tuple[Callable[[str], list[str]], Callable[[str], object]]:
+    """What splits a text where no merge can cross, and what tells chunks of characters that occur in no piece.
+
+    Characters that stand side by side in a piece are of one kind; a place
+    between two kinds is inside no piece.  If no piece has a blank after
+    another character, blanks are of no kind and go with what follows them.
+    """
+    parent: dict[str, str] = {}
+
+    def kind(c: str) -> str:
+        while parent.setdefault(c, c) != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    pieces = [*pieces]
+    blanks = "" if any(BLANK in s.lstrip(BLANK) for s in pieces) else BLANK
+    joined = set()
+    for c in {c for s in pieces for c in s}:
+        kind(c)
+    for c, d in {(c, d) for s in pieces for c, d in zip(s, s[1:])}:
+        if blanks not in (c, d):
+            parent[kind(c)] = kind(d)
+            joined |= {c, d}
+    kinds: dict[str, list[str]] = {}
+    for c in parent:
+        if c != blanks:
+            kinds.setdefault(kind(c), []).append(c)
+
+    def one_of(letters: Iterable[str]) -> str:
+        return f"[{re.escape(''.join(sorted(letters)))}]"
+
+    lead = f"{blanks}*" if blanks else ""
+    several = [f"{lead}{one_of(k)}+" for k in kinds.values() if k[0] in joined]
+    alone = [k[0] for k in kinds.values() if k[0] not in joined]
+    single = [lead + one_of(alone)] if alone else []
+    outside = f"[^{re.escape(''.join(sorted(parent)))}]"
+    runs = [f"{blanks}+"] if blanks else []
+    return re.compile("|".join([*several, *single, *runs, f"{outside}+"])).findall, re.compile(outside).match
 
 
 class PieceTable:
@@ -82,14 +129,15 @@ class PieceTable:
         self._derive(letters)
         self.automaton = ahocorasick.Automaton()
         ids = normal | {c: i for i, c in self.letters.items()}
+        self.base = len(self.names)
+        if self.names[BEGIN] in ids or SEPARATOR in letters:
+            raise ValueError("the first id or the line end is a piece")
         for s in [*self._made, *letters]:
-            self.automaton.add_word(s, (ids[s], len(s)))
+            self.automaton.add_word(s, (ids[s], len(s) - 1, ids[s] * self.base))
         self.automaton.make_automaton()
-        self.sizes = array("I", map(len, self.names))
-        known = re.escape("".join(sorted(letters - {BLANK})))
-        inner = any(BLANK in s.lstrip(BLANK) for s in normal)  # then blanks are letters like any other
-        self._chunks = re.compile(f"[{known}{BLANK}]+|[^{known}{BLANK}]+" if inner else f"{BLANK}*[{known}]+|{BLANK}+|[^{known}{BLANK}]+").findall
-        self._foreign = re.compile(f"[^{known}{BLANK}]").match
+        self.sizes = [*map(len, self.names)]
+        self.numbers = [*map(str, range(len(self.names)))]
+        self._chunks, self._foreign = _cuts(normal)
         self._pairs: dict[int, bool] = {}
         self.forget()
 
@@ -127,37 +175,51 @@ class PieceTable:
     def _check(self, key: int) -> bool:
         if len(self._pairs) >= PAIRS:
             self._pairs.clear()
-        known = self._pairs[key] = self._together(self.names[key >> 32], self.names[key & 0xFFFFFFFF], math.inf)
+        before, piece = divmod(key, self.base)
+        known = self._pairs[key] = before == BEGIN or self._together(self.names[before], self.names[piece], math.inf)
         return known
 
-    def _last_pieces(self, chunk: str) -> array:
-        """The last piece of each prefix of ``chunk``, all of whose characters occur in pieces."""
-        last = array("I", bytes(4 * (len(chunk) + 1)))
+    def _last_pieces(self, text: str) -> list[int]:
+        """The last piece of each prefix, times ``base``, of the chunks in ``text``.
+
+        The chunks, which hold only characters that occur in pieces, stand
+        between line ends, which occur in none: no match reaches across.
+        """
+        last = [BEGIN * self.base] * (len(text) + 1)
         pairs, check, done = self._pairs.get, self._check, 0
-        for place, (piece, size) in self.automaton.iter(chunk):
-            if place < done:  # settled by a longer piece
-                continue
-            before = place + 1 - size
-            if before:
-                key = last[before] << 32 | piece
-                if not ((known := pairs(key)) or known is None and check(key)):
-                    continue
-            last[place + 1] = piece
-            done = place + 1
+        for place, (piece, more, scaled) in self.automaton.iter(text):
+            if place >= done:  # else settled by a longer piece
+                key = last[place - more] + piece
+                known = pairs(key)
+                if known or known is None and check(key):
+                    done = place + 1
+                    last[done] = scaled
         return last
 
-    def _chunk(self, chunk: str) -> bytes:
-        if self._foreign(chunk):
-            return array("I", [self.bytes[b] for b in chunk.encode("utf-8", "surrogatepass")]).tobytes()
-        last, found, at = self._last_pieces(chunk), array("I"), len(chunk)
-        while at:
-            found.append(last[at])
-            at -= self.sizes[last[at]]
-        found.reverse()
-        if self.letters and any(i in self.letters for i in found):
-            parts = ([self.bytes[b] for b in self.letters[i].encode()] if i in self.letters else [i] for i in found)
-            found = array("I", [i for part in parts for i in part])
-        return found.tobytes()
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks and remember them."""
+        known, base, sizes, held = self._known, self.base, self.sizes, 0
+        near = [c for c in chunks if not self._foreign(c)]
+        last, end = self._last_pieces(SEPARATOR.join(near)), -1
+        for chunk in near:
+            begin = end + 1
+            end = at = begin + len(chunk)
+            found = []
+            while at > begin:
+                piece = last[at] // base
+                found.append(piece)
+                at -= sizes[piece]
+            found.reverse()
+            if self.letters and not self.letters.keys().isdisjoint(found):
+                parts = ([self.bytes[b] for b in self.letters[i].encode()] if i in self.letters else [i] for i in found)
+                found = [i for part in parts for i in part]
+            known[chunk] = ids = array("I", found).tobytes()
+            held += OVERHEAD + 4 * len(chunk) + len(ids)
+        for chunk in chunks:
+            if self._foreign(chunk):
+                known[chunk] = ids = array("I", [self.bytes[b] for b in chunk.encode("utf-8", "surrogatepass")]).tobytes()
+                held += OVERHEAD + 4 * len(chunk) + len(ids)
+        self._held += held
 
     def forget(self) -> None:
         """Drop what is remembered of chunks."""
@@ -165,21 +227,35 @@ class PieceTable:
         self._older: dict[str, bytes] = {}
         self._held = 0
 
-    def _learn(self, chunk: str) -> bytes:
-        ids = self._known.get(chunk) or self._older.get(chunk) or self._chunk(chunk)
-        if len(chunk) <= SHORT:
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers; texts are taken together up to some size."""
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            group.append(self._chunks(self.prefix + text.replace(" ", BLANK)) if text else [])
+            size += len(text or "")
+            if size >= TOGETHER:
+                yield from self._encode_group(group)
+                group, size = [], 0
+        yield from self._encode_group(group)
+
+    def _encode_group(self, group: list[list[str]]) -> Iterator[bytes]:
+        if self._held > REMEMBERED:
+            self._known, self._older, self._held = {}, self._known, 0
+        missing = set().union(*group).difference(self._known)
+        old = missing.intersection(self._older)
+        for chunk in old:
+            ids = self._known[chunk] = self._older[chunk]
             self._held += OVERHEAD + 4 * len(chunk) + len(ids)
-            if self._held > REMEMBERED:
-                self._known, self._older, self._held = {}, self._known, 0
-            self._known[chunk] = ids
-        return ids
+        self._learn([*(missing - old)])
+        for chunks in group:
+            yield b"".join(map(self._known.__getitem__, chunks))
+        for chunk in missing:
+            if len(chunk) > SHORT:
+                self._held -= OVERHEAD + 4 * len(chunk) + len(self._known.pop(chunk))
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        known, learn = self._known.get, self._learn
-        return b"".join([known(c) or learn(c) for c in self._chunks(self.prefix + text.replace(" ", BLANK))])
+        return next(self.encode_all([text]))
 
     def decode_steps(self, ids: bytes) -> Iterator[str]:
         """The text of ids, of ``DECODED`` at a time."""
@@ -247,14 +323,14 @@ def piece_table(path: str) -> PieceTable:
     return PieceTable(path)
 
 
-def _over_texts(path: str, row, made):
-    """A batch function that gives ``made`` of the ``row`` of each text, and forgets the chunks at the end of the task."""
+def _over_texts(path: str, made: Callable[[PieceTable, Iterator[bytes]], T]) -> Callable[[Iterator[pd.Series]], Iterator[T]]:
+    """A batch function that gives what is ``made`` of the ids of the texts, and forgets chunks at the end of the task."""
 
-    def run(texts: Iterator[pd.Series]) -> Iterator:
+    def run(texts: Iterator[pd.Series]) -> Iterator[T]:
         table = piece_table(path)
         try:
             for batch in texts:
-                yield made([row(table, text) for text in batch])
+                yield made(table, table.encode_all(batch))
         finally:
             table.forget()
 
@@ -266,7 +342,7 @@ def encoded(text: Column, path: str) -> Column:
 
     @F.pandas_udf("binary")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from _over_texts(path, PieceTable.encode, lambda rows: pd.Series(rows, dtype=object))(texts)
+        yield from _over_texts(path, lambda _, ids: pd.Series([*ids], dtype=object))(texts)
 
     return encode(text)
 
@@ -283,11 +359,11 @@ def decoded(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
-def _digests(table: PieceTable, text: str | None) -> tuple[int, str, str]:
-    ids = table.encode(text)
+def _digests(table: PieceTable, ids: bytes) -> tuple[int, str, str]:
     numbers, back = hashlib.sha256(), hashlib.sha256()
     for at in range(0, len(ids), 4 * DECODED):
-        numbers.update((b"," if at else b"") + ",".join(map(str, array("I", ids[at : at + 4 * DECODED]))).encode())
+        step = ",".join(map(table.numbers.__getitem__, array("I", ids[at : at + 4 * DECODED])))
+        numbers.update(("," + step if at else step).encode())
     for step in table.decode_steps(ids):
         back.update(step.encode())
     return len(ids) // 4, numbers.hexdigest(), back.hexdigest()
@@ -299,6 +375,6 @@ def round_trip(text: Column, path: str) -> Column:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from _over_texts(path, _digests, lambda rows: pd.DataFrame(rows, columns=names))(texts)
+        yield from _over_texts(path, lambda t, all_ids: pd.DataFrame([_digests(t, i) for i in all_ids], columns=names))(texts)
 
     return digests(text)
