@@ -56,6 +56,8 @@ BLOCK = 1 << 12
 ROOM = 2
 # Tokens aligned at a time, bytes of ids passed on at a time, distinct pairs held by a task before they are passed on.
 TOGETHER, WRITTEN, HELD = 1 << 20, 4 << 20, 1 << 21
+# Bytes of a row group of the table of ids: a task holds one while it writes.
+ROW_GROUP = 16 << 20
 
 
 class Tokens:
@@ -87,6 +89,8 @@ class Tokens:
             for i in range(b.get_piece_size())
         ]
         self.sizes_a, self.sizes_b = (np.array([*map(len, t)], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
+        # How ids are written: in two bytes where they fit.
+        self.kind_a, self.kind_b = ("<u2" if len(t) <= 1 << 16 else "<u4" for t in (self.bytes_a, self.bytes_b))
         # Ids with what follows them in the text of the groups: within a group, at the end of one.
         self.written_a = [f"{i}{end}" for end in ",|" for i in range(len(self.bytes_a))]
         self.written_b = [f"{i}{end}" for end in ",;" for i in range(len(self.bytes_b))]
@@ -141,7 +145,7 @@ def _encoding(path_a: str, path_b: str):
                 a, b = (np.array(ids, dtype=np.int64) for ids in both.encode(text.as_py()))
                 ends_a, ends_b = both.ends(a, b)
                 digest = hashlib.sha256(both.groups(a, b, ends_a, ends_b).encode()).hexdigest() if len(a) else ""
-                ids = [x.astype("<u4").tobytes() for x in (a, b)]
+                ids = [a.astype(both.kind_a).tobytes(), b.astype(both.kind_b).tobytes()]
                 done.append((*ids, len(a), len(b), len(ends_a), digest))
                 size += sum(map(len, ids))
                 if size > WRITTEN or place == batch.num_rows:
@@ -161,7 +165,10 @@ def _links(both: Tokens, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np
         while at < len(n):
             take = max(1, int(np.searchsorted(np.cumsum(n[at:]), TOGETHER, side="right")))
             part = batch.slice(at, take)
-            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype="<u4").astype(np.int64) for c in "ab")
+            a, b = (
+                np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=kind).astype(np.int64)
+                for c, kind in (("a", both.kind_a), ("b", both.kind_b))
+            )
             ends_a, ends_b = both.ends(a, b)
             starts = np.searchsorted(ends_a, np.concatenate([[0], np.cumsum(part.column("n_a").to_numpy())]))
             yield part.column("row").to_numpy(), a[ends_a] << 32 | b[ends_b], starts
@@ -339,7 +346,7 @@ def aligned(docs: DataFrame, keys: list[str], text: str, path_a: str, path_b: st
     numbered = docs.select(F.struct(*keys).alias("keys"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
     encode = _encoding(path_a, path_b)
     kind = numbered.schema["keys"].dataType.simpleString()
-    texts = staged(numbered.select("keys", "row", "text").mapInArrow(encode, f"keys {kind}, {ENCODED}"), "aligned")
+    texts = staged(numbered.select("keys", "row", "text").mapInArrow(encode, f"keys {kind}, {ENCODED}"), "aligned", ROW_GROUP)
     # Vectors come one a task, so their number follows the cores rather than the data.
     tasks = min(texts.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism)
     branches = max(1, math.isqrt(tasks))

@@ -44,11 +44,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: later jobs neither recompute it nor depend on executors."""
+def staged(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: later jobs neither recompute it nor depend on executors.
+
+    ``row_group`` bounds the bytes that a task holds before it writes them, for rows of large values.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
