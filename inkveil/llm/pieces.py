@@ -239,7 +239,7 @@ class PieceTable:
                 group, size = [], 0
         yield from self._encode_group(group)
 
-    def _encode_group(self, group: list[list[str]]) -> Iterator[bytes]:
+    def _encode_group(self, group: list[list[str]]) -> list[bytes]:
         if self._held > REMEMBERED:
             self._known, self._older, self._held = {}, self._known, 0
         missing = set().union(*group).difference(self._known)
@@ -248,11 +248,11 @@ class PieceTable:
             ids = self._known[chunk] = self._older[chunk]
             self._held += OVERHEAD + 4 * len(chunk) + len(ids)
         self._learn([*(missing - old)])
-        for chunks in group:
-            yield b"".join(map(self._known.__getitem__, chunks))
+        done = [b"".join(map(self._known.__getitem__, chunks)) for chunks in group]
         for chunk in missing:
             if len(chunk) > SHORT:
                 self._held -= OVERHEAD + 4 * len(chunk) + len(self._known.pop(chunk))
+        return done
 
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))

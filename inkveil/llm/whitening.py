@@ -406,7 +406,7 @@ def identity_error(whitened: DataFrame, most: int) -> float | None:
 
     parts = whitened.where("whitened IS NOT NULL").select("whitened").mapInPandas(moments, "place int, value double")
     sums = {r["place"]: r["value"] for r in parts.groupBy("place").agg(F.sum("value").alias("value")).collect()}
-    if not sums.get(0):
+    if not most or not sums.get(0):
         return None
     means = np.array([sums[1 + i] for i in range(most)]) / sums[0]
     products = np.array([sums[1 + most + i] for i in range(most * most)]).reshape(most, most) / sums[0]
