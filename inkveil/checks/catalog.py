@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkveil.checks import oracle as o
@@ -22,10 +23,11 @@ from inkveil.operators.detect import (
 )
 from inkveil.operators.rules import Rule, bounded_organization_rule, default_rules, rules_named, spans_of
 from inkveil.plans.evaluation import evaluate
+from inkveil.plans import runs
 from inkveil.plans.redact import redact, redact_documents
 from inkveil.sources import paragraphs as par, sinks, uploads
 from inkveil.sources.tables import read_table
-from inkveil.streaming.redact_stream import arriving_documents, redact_stream
+from inkveil.streaming.redact_stream import arriving_documents, redact_stream, redact_upload_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -762,6 +764,39 @@ def _(spark, sf_dir):
     )
 
 
+_LOGGED = (
+    "logged AS (SELECT id, count(*) AS n FROM named GROUP BY id)",
+    "changed AS (SELECT count(*) AS total_paragraphs, count(*) FILTER (redacted <> text) AS paragraphs_changed FROM redacted)",
+)
+
+
+@register(
+    "A4_one_run",
+    o.with_query(
+        "SELECT w.doc_id, w.redacted AS text, coalesce(l.n, 0) AS n_logged, c.total_paragraphs,"
+        " (SELECT count(*) FROM (SELECT DISTINCT id, para FROM named)) AS paragraphs_modified, c.paragraphs_changed,"
+        " (SELECT count(*) FROM named) AS total_entities_found,"
+        " (SELECT count(*) FROM named WHERE category = 'EMAIL') AS emails"
+        f" FROM ({_WHOLE}) w LEFT JOIN logged l ON l.id = w.doc_id, changed c",
+        *_SYNTHETIC_DOCUMENTS, *_LOGGED,
+    ),
+)
+def _(spark, sf_dir):
+    """Documents, log and summary of one run, read back by its commit record."""
+    folder = sinks.shared_folder(spark, "one-run")
+    rows = par.body_paragraphs(documents(spark, sf_dir), ["doc_id"])
+    runs.redaction_run(rows, ["doc_id"], folder, "only")
+    read = lambda output, schema: runs.committed(spark, folder, output, schema)
+    log = read("log", "doc_id bigint, para_id int, context string, entity_type string").where("context = 'body'")
+    logged = log.groupBy("doc_id").agg(F.count("*").alias("n_logged"))
+    summary = read("commits", runs.COMMIT).select(
+        "total_paragraphs", "paragraphs_modified", "paragraphs_changed", "total_entities_found",
+        F.coalesce(F.col("by_type")["EMAIL"], F.lit(0)).alias("emails"),
+    )
+    whole = read("documents", "doc_id bigint, text string").join(logged, "doc_id", "left").crossJoin(F.broadcast(summary))
+    return whole.select("doc_id", "text", F.coalesce("n_logged", F.lit(0)).alias("n_logged"), *summary.columns)
+
+
 # -- aggregations -----------------------------------------------------------
 @register("G_CNT_total_entities", o.with_query("SELECT count(*) AS total_entities FROM ents", *o.entities("all")))
 def _(spark, sf_dir):
@@ -1127,3 +1162,51 @@ def _(spark, sf_dir):
     log = spark.read.parquet(f"{folder}/log").groupBy("doc_id", "para_id").agg(F.count("*").alias("n_logged"))
     rows = spark.read.parquet(f"{folder}/redacted").select("doc_id", "para_id", "text")
     return rows.join(log, ["doc_id", "para_id"], "left").withColumn("n_logged", F.coalesce("n_logged", F.lit(0)))
+
+
+def dropped_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Every document as a file in ``folder``, written by its task: some misnamed, some with other first bytes, some broken."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, place = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        store.create_dir(place, recursive=True)
+        for batch in batches:
+            ids, bodies = (column.to_pylist() for column in batch.columns)
+            for i, text in zip(ids, bodies):
+                data, name = _docx(text.split("\n"), []), f"{i}.pdf" if i % 5 == 1 else f"{i} [a].DOCX" if i % 5 == 2 else f"{i}.docx"
+                data = b"PK\0\4" + data[4:] if i % 7 == 3 else data[:60] + b"\xff" * 8 + data[68:] if i % 11 == 4 else data
+                with store.open_output_stream(f"{place}/{name}") as file:
+                    file.write(data)
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64())})
+
+    documents(spark, sf_dir).mapInArrow(write, "id bigint").agg(F.count("*")).collect()
+
+
+_UPLOAD = "CASE WHEN {0} % 5 = 1 THEN 'wrong extension' WHEN {0} % 7 = 3 THEN 'not a docx file' WHEN {0} % 11 = 4 THEN 'unreadable' END"
+
+
+@register(
+    "ST1_streamed_uploads",
+    o.with_query(
+        "SELECT r.id AS doc_id, r.para AS para_id, r.redacted AS text, count(n.s) AS n_logged, CAST(NULL AS VARCHAR) AS reason"
+        " FROM redacted r LEFT JOIN named n ON r.src = n.src AND r.id = n.id AND r.para = n.para"
+        f" WHERE {_UPLOAD.format('r.id')} IS NULL GROUP BY ALL"
+        f" UNION ALL SELECT doc_id, NULL, NULL, 0, {_UPLOAD.format('doc_id')} FROM documents WHERE {_UPLOAD.format('doc_id')} IS NOT NULL",
+        *_SYNTHETIC_DOCUMENTS,
+    ),
+)
+def _(spark, sf_dir):
+    """Files of the documents arrive in a folder; their stream runs in several batches until nothing is left."""
+    folder = sinks.shared_folder(spark, "uploads")
+    dropped_files(spark, sf_dir, f"{folder}/in")
+    per_batch = max(1000, documents(spark, sf_dir).count() // 3)
+    redact_upload_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", per_batch).awaitTermination()
+    read = lambda output, schema: runs.committed(spark, f"{folder}/out", output, schema)
+    number = F.regexp_extract("path", r"(\d+)[^/]*$", 1).cast("bigint").alias("doc_id")
+    log = read("log", "path string, para_id int").groupBy("path", "para_id").agg(F.count("*").alias("n_logged"))
+    rows = read("redacted", "path string, para_id int, text string").join(log, ["path", "para_id"], "left")
+    reason = F.when(F.col("reason").rlike("^(wrong|too|not) "), F.col("reason")).otherwise("unreadable")
+    done = rows.select(number, "para_id", "text", F.coalesce("n_logged", F.lit(0)).alias("n_logged"), F.lit(None).cast("string").alias("reason"))
+    return done.unionByName(read("quarantine", "path string, reason string").select(number, reason.alias("reason")), allowMissingColumns=True).withColumn(
+        "n_logged", F.coalesce("n_logged", F.lit(0))
+    )

@@ -38,20 +38,41 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def redaction_log(annotated: DataFrame, keys: Sequence[str], hash_originals_with: str | None = None) -> DataFrame:
+def _at(spark: SparkSession, path: str):
+    """The Hadoop path and its file system, whatever store it is in."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place, store = _at(spark, path)
+    return store.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library staged."""
+    place, store = _at(spark, path)
+    store.delete(place, True)
+
+
+def redaction_log(
+    annotated: DataFrame, keys: Sequence[str], hash_originals_with: str | None = None, context: str | None = None
+) -> DataFrame:
     """One row per replaced span.
 
     The log holds original values and is as sensitive as the input; with a
     salt given, originals are hashed and the paragraph's beginning is taken
-    from the redacted text.
+    from the redacted text.  ``context`` names the column with the place of the
+    paragraph in its document, if the log shall carry it.
     """
     shown = "redacted" if hash_originals_with is not None else "text"
     original = "original_text"
     if hash_originals_with is not None:
         original = f"sha2(concat({quote(hash_originals_with)}, original_text), 256)"
-    rows = annotated.select(*keys, F.col(shown).alias("shown_"), F.inline_outer("entities")).where("start IS NOT NULL")
+    place = [context] if context else []
+    rows = annotated.select(*keys, *place, F.col(shown).alias("shown_"), F.inline_outer("entities")).where("start IS NOT NULL")
     return rows.select(
-        *keys, "start", "end", "entity_type",
+        *keys, *place, "start", "end", "entity_type",
         F.expr(original).alias("original_text"),
         F.col("replacement").alias("replacement_text"),
         F.substring("shown_", 1, fixed.LOG_CONTEXT_CHARS).alias("paragraph_context"),
@@ -80,14 +101,24 @@ def reassembled(annotated: DataFrame, keys: Sequence[str], text: str = "redacted
 
 
 def write_redaction(annotated: DataFrame, keys: Sequence[str], folder: str, **log_options) -> None:
-    """Write ``folder/redacted`` and ``folder/log`` from one detection run."""
-    kept = [*keys, "text", "redacted", "entities"]
-    extra = [c for c in ("context",) if c in annotated.columns]
-    done = written_table(annotated.select(*kept, *extra), "annotated")
-    done.select(*keys, *extra, F.col("redacted").alias("text")).write.mode("errorifexists").parquet(f"{folder}/redacted")
-    redaction_log(done, keys, **log_options).write.mode("errorifexists").partitionBy("entity_type").parquet(
-        f"{folder}/log"
-    )
+    """Write ``folder/redacted`` and ``folder/log`` from one detection run.
+
+    The log is partitioned by category.  Its rows are rebalanced by category
+    first: small categories share a task, large ones are split, so the number
+    of files follows the size of the log and not tasks times categories.
+    """
+    spark = annotated.sparkSession
+    extra = [c for c in ("context",) if c in annotated.columns and c not in keys]
+    kept = annotated.select(*keys, "text", "redacted", "entities", *extra)
+    staging = shared_folder(spark, "annotated")
+    try:
+        kept.write.parquet(staging)
+        done = spark.read.schema(kept.schema).parquet(staging)
+        done.select(*keys, *extra, F.col("redacted").alias("text")).write.mode("errorifexists").parquet(f"{folder}/redacted")
+        log = redaction_log(done, keys, context="context" if extra else None, **log_options).hint("rebalance", "entity_type")
+        log.write.mode("errorifexists").partitionBy("entity_type").parquet(f"{folder}/log")
+    finally:
+        remove(spark, staging)
 
 
 def report_row(

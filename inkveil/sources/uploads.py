@@ -3,32 +3,68 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkveil.functions import fixed_values as fixed
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_MAGIC, NOT_DOCX = bytes.fromhex(fixed.DOCX_MAGIC_HEX), "not a docx file"
+# Names that pass, as the file source matches them.
+DOCX_NAMES = "*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in fixed.DOCX_SUFFIX)
 PARAGRAPHS = "path string, para_id int, context string, text string, error string"
 
 
-def read_uploads(spark: SparkSession, directory: str) -> DataFrame:
-    """``path, modificationTime, length, content`` of all files below a directory."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def read_uploads(spark: SparkSession, directory: str, names: str = "*") -> DataFrame:
+    """``path, modificationTime, length, content`` of all files below a directory, of those alone whose name fits ``names``."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names)
+    return reader.load(directory)
+
+
+def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The same of the files listed.  Paths are patterns to the reader, so special characters are escaped."""
+    return spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", path) for path in paths])
+
+
+def arriving_uploads(spark: SparkSession, directory: str, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of ``path, length`` of files dropped below a directory; their content stays unread."""
+    stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
+    return stream.option("maxFilesPerTrigger", files_per_batch).load(directory).select("path", "length")
+
+
+def _reason_by_name() -> Column:
+    """The first check that a file fails by its name or length alone, else NULL."""
+    return F.when(~F.lower("path").endswith(fixed.DOCX_SUFFIX), "wrong extension").when(
+        F.col("length") > fixed.DOCX_MAX_BYTES, "too large"
+    )
+
+
+def _reason_by_content() -> Column:
+    return F.when(F.coalesce(F.hex(F.substring("content", 1, 4)), F.lit("")) != fixed.DOCX_MAGIC_HEX, NOT_DOCX)
 
 
 def check_uploads(files: DataFrame) -> DataFrame:
     """Add ``reason``: NULL for an accepted file, else the first failed check."""
-    return files.withColumn(
-        "reason",
-        F.when(~F.lower("path").endswith(fixed.DOCX_SUFFIX), "wrong extension")
-        .when(F.col("length") > fixed.DOCX_MAX_BYTES, "too large")
-        .when(F.coalesce(F.hex(F.substring("content", 1, 4)), F.lit("")) != fixed.DOCX_MAGIC_HEX, "not a docx file"),
-    )
+    return files.withColumn("reason", F.coalesce(_reason_by_name(), _reason_by_content()))
+
+
+def sorted_by_name(listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files that pass by name and length, and ``path, length, reason`` of the others.
+
+    Only ``path`` and ``length`` are looked at, so over a listing no content is read.
+    """
+    # The plain comparison is what the file source understands: longer files are not opened.
+    fit = listing.where((F.col("length") <= fixed.DOCX_MAX_BYTES) & F.lower("path").endswith(fixed.DOCX_SUFFIX))
+    failed = listing.select("path", "length", _reason_by_name().alias("reason")).where("reason IS NOT NULL")
+    return fit, failed
 
 
 def accepted(checked: DataFrame) -> DataFrame:
@@ -92,8 +128,12 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1)):
+            data = content.as_py()
             try:
-                found = [(i, c, t, None) for i, (c, t) in enumerate(_paragraphs(content.as_py()))]
+                if data is None or not data.startswith(_MAGIC):
+                    found = [(None, None, None, NOT_DOCX)]
+                else:
+                    found = [(i, c, t, None) for i, (c, t) in enumerate(_paragraphs(data))]
             except Exception as e:  # whatever is wrong with one file must not end the job
                 found = [(None, None, None, f"{type(e).__name__}: {e}")]
             columns = list(zip(*found)) if found else [[], [], [], []]
@@ -105,7 +145,8 @@ def docx_paragraphs(files: DataFrame) -> DataFrame:
     """Paragraphs and cells of accepted files, one file at a time per task.
 
     Only unzipping and XML run in Python; the file source packs files into
-    bounded splits.  A broken file, or one whose text unpacks to more than
-    ``DOCX_MAX_UNPACKED`` bytes, yields one row with ``error`` set.
+    bounded splits.  A file with other first bytes, a broken one, or one whose
+    text unpacks to more than ``DOCX_MAX_UNPACKED`` bytes yields one row with
+    ``error`` set.
     """
     return files.select("path", "content").mapInArrow(_read_batches, PARAGRAPHS)

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from inkveil.plans.redact import redact
+from inkveil.plans.runs import redact_uploads
 from inkveil.sources.paragraphs import body_paragraphs
 from inkveil.sources.sinks import redaction_log
+from inkveil.sources.uploads import FILES, arriving_uploads, read_files, sorted_by_name
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -56,3 +58,34 @@ def redact_stream(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def redact_upload_stream(
+    spark: SparkSession, uploads: str, folder: str, checkpoint: str, files_per_batch: int = 1000,
+    trigger: dict | None = None, **options,
+) -> StreamingQuery:
+    """Redact Word files as they are dropped below ``uploads``; a run of ``redact_uploads`` per micro-batch.
+
+    The stream carries names and lengths only.  A micro-batch has at most
+    ``files_per_batch`` files, so the list of its names is bounded; the files
+    that pass by name and length are then read by path, and have to stay until
+    the run is committed.  The run is named by the query and the batch: a batch
+    that failed between two outputs is written again, one that failed after its
+    commit is left as it is, and ``runs.committed`` never shows half of one.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        query = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        listing = session.createDataFrame(batch.collect(), "path string, length bigint")
+        fit, rejected = sorted_by_name(listing)
+        paths = [r["path"] for r in fit.collect()]
+        files = read_files(session, paths) if paths else session.createDataFrame([], FILES)
+        redact_uploads(files, folder, f"q{query}-{batch_id}", rejected, **options)
+
+    return (
+        arriving_uploads(spark, uploads, files_per_batch).writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
