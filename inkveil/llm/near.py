@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -55,9 +56,12 @@ BLOCK = 256
 BROADCAST_IDS = 500_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_BASE = 0xD1342543DE82EF95
+# Words are hashed as polynomials of their bytes modulo two primes, whose residues make 62 bits.
+_PRIMES, _BASES = (2_147_483_647, 2_147_483_629), (1_103_515_245, 1_597_334_677)
 # Bytes of a text are hashed in blocks of about so many.
 TEXT_BLOCK = 1 << 20
+# Values of full sets handed on at a time, and bytes of a row group of their table.
+SET_VALUES, ROW_GROUP = 1 << 19, 16 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,36 +72,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values() -> tuple[np.ndarray, np.ndarray]:
-    """Per byte whether it is part of a word, and its hash; A-Z hash as a-z."""
+def _byte_values() -> tuple[np.ndarray, list[np.ndarray]]:
+    """Per byte whether it is part of a word, and its value modulo each prime; A-Z count as a-z."""
     part = np.ones(256, np.int8)
     part[[0x20, *range(0x09, 0x0E)]] = 0
     lower = np.arange(256)
     lower[65:91] += 32
     with np.errstate(over="ignore"):
-        return part, mixed((lower.astype(np.uint64) + np.uint64(1)) * _MULTIPLIERS[0])
+        value = mixed((lower.astype(np.uint64) + np.uint64(1)) * _MULTIPLIERS[0])
+    return part, [value % np.uint64(p - 1) + np.uint64(1) for p in _PRIMES]
 
 
-_PART, _VALUE = _byte_values()
+_PART, _VALUES = _byte_values()
+
+
+def _powers(base: int, p: int, size: int) -> np.ndarray:
+    """The first powers of ``base`` modulo ``p``, ``size`` at least, by doubling."""
+    powers = np.ones(1, np.uint64)
+    while len(powers) < size:
+        powers = np.concatenate([powers, powers * np.uint64(pow(base, len(powers), p)) % np.uint64(p)])
+    return powers
 
 
 class Hasher:
     """64-bit hashes of the words of a text and of its shingles; powers are kept for the next text."""
 
     def __init__(self) -> None:
-        self.powers = self.inverse = np.ones(1, np.uint64)
+        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
 
     def _grow(self, size: int) -> None:
-        if len(self.powers) < size:
+        if not self.powers or len(self.powers[0][0]) < size:
             size = max(size, 1 << 16)
-            with np.errstate(over="ignore"):
-                self.powers, self.inverse = (
-                    np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64)
-                    for b in (_BASE, pow(_BASE, -1, 1 << 64))
-                )
+            self.powers = [(_powers(b, p, size), _powers(pow(b, -1, p), p, size)) for b, p in zip(_BASES, _PRIMES)]
 
     def words(self, text: str | None) -> np.ndarray:
-        """The hash of each word: sums of its bytes' hashes times powers, shifted to the word's begin."""
+        """The hash of each word: per prime the sum of its bytes' values times powers, shifted to the word's begin."""
         data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
         found = []
         at = 0
@@ -110,9 +119,11 @@ class Hasher:
             self._grow(len(block) + 1)
             edges = np.diff(np.concatenate([[0], _PART[block], [0]]).astype(np.int8))
             starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+            own = np.zeros(len(starts), np.uint64)
+            for value, (powers, inverse), p in zip(_VALUES, self.powers, map(np.uint64, _PRIMES)):
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[block] * powers[: len(block)] % p, dtype=np.uint64)])
+                own = own << np.uint64(31) | (sums[ends] - sums[starts]) % p * inverse[starts] % p
             with np.errstate(over="ignore"):
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[block] * self.powers[: len(block)], dtype=np.uint64)])
-                own = (sums[ends] - sums[starts]) * self.inverse[starts]
                 found.append(mixed(own + (ends - starts).astype(np.uint64) * _MULTIPLIERS[1]))
             at = end
         return np.concatenate(found) if found else np.empty(0, np.uint64)
@@ -190,11 +201,17 @@ def _sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["words_key", "n_shingles", "sketch"])
 
 
-@batch_udf("array<long>")
-def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, set`` of ``node, text``, a few megabytes at a time however long the texts are."""
     hasher = Hasher()
-    for batch in texts:
-        yield pd.Series([as_long(hasher.shingles(hasher.words(t))) for t in batch], dtype=object)
+    for batch in batches:
+        nodes, sets = [], []
+        for place, (node, text) in enumerate(zip(batch.column("node"), batch.column("text")), 1):
+            nodes.append(node.as_py())
+            sets.append(as_long(hasher.shingles(hasher.words(text.as_py()))))
+            if place == batch.num_rows or sum(map(len, sets)) > SET_VALUES:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+                nodes, sets = [], []
 
 
 def _list_keys(hot: np.ndarray):
@@ -239,6 +256,16 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([link(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
+def one_row_each(rows: DataFrame, doc_id: str) -> DataFrame:
+    """One of the rows of each id, and all without one.  Only rows whose id comes again are shuffled."""
+    again = rows.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count("*").alias("times")).where("times > 1").select(doc_id)
+    again = staged(again, "near-again")
+    if is_empty(again):
+        return rows
+    again = small_or_all(again, BROADCAST_IDS)
+    return rows.join(again, doc_id, "left_anti").unionByName(rows.join(again, doc_id, "left_semi").dropDuplicates([doc_id]))
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     """Of distinct pairs ``a, b`` those that are linked: by union sketch, then on full sets of what is left."""
 
@@ -251,8 +278,8 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFra
         "near-hopeful",
     )
     wanted = hopeful.select(F.col("a").alias("node")).union(hopeful.select("b")).distinct()
-    texts = sets.join(small_or_all(wanted, BROADCAST_IDS), "node", "left_semi").dropDuplicates(["node"])
-    full = staged(texts.select("node", _sets("text").alias("set")), "near-sets")
+    texts = one_row_each(sets.join(small_or_all(wanted, BROADCAST_IDS), "node", "left_semi"), "node")
+    full = staged(texts.select("node", "text").mapInArrow(_sets, "node long, set array<long>"), "near-sets", ROW_GROUP)
     return (
         hopeful.join(side(full, "a", "set"), "a").join(side(full, "b", "set"), "b")
         .where(_linked("a_set", "b_set")).select("a", "b")
@@ -347,6 +374,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest; rows without an id stay."""
-    gone = near_duplicates(docs, doc_id, text).where("component_id < doc_id").select(F.col("doc_id").alias("near_gone")).distinct()
-    return docs.join(small_or_all(gone, BROADCAST_IDS), F.col(doc_id) == F.col("near_gone"), "left_anti")
+    """One row of each component: that of the smallest id, once if the id comes again.  Rows without an id stay, all of them."""
+    gone = near_duplicates(docs, doc_id, text).where("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    return one_row_each(docs.join(small_or_all(gone, BROADCAST_IDS), doc_id, "left_anti"), doc_id)
