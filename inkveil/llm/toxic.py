@@ -27,7 +27,6 @@ rows score alike; extra columns pass through.
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -46,7 +45,8 @@ TABLE_BITS = 20
 LANDMARKS = 512
 NEGATIVES, MINED, ROUNDS = 12_000, 3_000, 2
 COST = 10.0
-REMEMBERED = 500_000
+# Characters of texts that are scored together, new tokens valued at a time, bytes of remembered tokens, each with so much besides its letters.
+TOGETHER, PORTION, REMEMBERED, OVERHEAD = 1 << 20, 10_000, 48 << 20, 200
 # Clean words that are learned in any case: the most frequent ones.
 FREQUENT = 3000
 # A word of a toxic document is taken as its cause at this evidence, or at this value of the machine.
@@ -145,21 +145,32 @@ class Model:
 
 
 class Scorer:
-    """Scores texts; values of tokens are remembered up to a fixed number."""
+    """Scores texts, taken together by their characters; values of tokens are remembered up to a bound in bytes."""
 
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, float] = {}
+        self.held = 0
 
     def scores(self, texts: Iterable[str | None]) -> Iterator[float]:
-        texts = iter(texts)
-        while group := list(itertools.islice(texts, 500)):
-            sets = [tokens(t) for t in group]
-            if len(self.known) >= REMEMBERED:
-                self.known = {}
-            self.known.update(self.model.of_tokens(set().union(*sets).difference(self.known)))
-            for words in sets:
-                yield self.model.probability(max(map(self.known.__getitem__, words), default=FLOOR))
+        group, size = [], 0
+        for text in texts:
+            group.append(tokens(text))
+            size += len(text or "")
+            if size >= TOGETHER:
+                yield from self._scores(group)
+                group, size = [], 0
+        yield from self._scores(group)
+
+    def _scores(self, sets: list[set[str]]) -> Iterator[float]:
+        new = sorted(set().union(*sets).difference(self.known), key=len)
+        for at in range(0, len(new), PORTION):
+            self.known.update(self.model.of_tokens(new[at : at + PORTION]))
+        best = [max(map(self.known.__getitem__, words), default=FLOOR) for words in sets]
+        self.held += sum(map(len, new)) + OVERHEAD * len(new)
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
+        yield from map(self.model.probability, best)
 
 
 # Fitting.
