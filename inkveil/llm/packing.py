@@ -44,14 +44,17 @@ def pieces_of(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine, width = transducer(path), 4 * capacity
         end = END_ID.to_bytes(4, "little")
-        for batch in batches:
-            rows = []
-            for doc, ids in zip(batch["doc_id"], machine.encode_all(batch["text"])):
-                ids = memoryview(ids + end)
-                for n, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    rows.append((doc, n, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        try:
+            for batch in batches:
+                rows = []
+                for doc, ids in zip(batch["doc_id"], machine.encode_all(batch["text"])):
+                    ids = memoryview(ids + end)
+                    for n, at in enumerate(range(0, len(ids), width)):
+                        part = ids[at : at + width]
+                        rows.append((doc, n, at // 4, len(part) // 4, zlib.crc32(part)))
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        finally:
+            machine.forget()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, PIECES)
 
