@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import groupby
 
 from inkveil.functions import fixed_values as fixed, validators
 from inkveil.functions.columns import NO_SPANS, each, let, quote, quotes, segments
+from inkveil.functions.emails import email_matches
 from inkveil.functions.matching import (
     ODD_CASE_LETTERS, contains_any, context_pattern, dialect, find_all, locate_all, words_around,
 )
@@ -22,6 +23,9 @@ class Rule:
     ``any_of``    lower-case literals; every text with a match holds one.
     ``gate``      a cheap regex that finds something in every text with a match.
     ``validate``  SQL condition over ``{value}``; a pass sets the score to 1.0.
+    ``locate``    makes SQL of ``value, start, end`` of all matches from that
+                  of the text, for rules that a regex would find slowly; the
+                  text then holds one of ``any_of``.
     ``confirm``   SQL condition over ``{parts}`` (the text's segments, see
                   ``cut``), ``{start}`` and ``{end}``; a pass leaves the
                   score alone.
@@ -38,6 +42,7 @@ class Rule:
     gate: str = ""
     validate: str = ""
     confirm: str = ""
+    locate: Callable[[str], str] | None = None
 
     def spans(self, text: str) -> str:
         """SQL for this rule's spans in ``text``; entity_type is the rule's
@@ -46,7 +51,7 @@ class Rule:
         score = fixed.VALIDATED_SCORE if self.validate else self.score
 
         def to_spans(found: str) -> str:
-            matches = locate_all(text, pattern, found)
+            matches = found if self.locate else locate_all(text, pattern, found)
             if self.validate:
                 matches = each(matches, lambda m: self.validate.format(value=f"{m}.value"), "filter")
             if self.confirm:
@@ -67,7 +72,7 @@ class Rule:
             )
 
         return let(
-            find_all(text, pattern),
+            self.locate(text) if self.locate else find_all(text, pattern),
             lambda found: f"CASE WHEN size({found}) > 0 THEN {to_spans(found)} ELSE {NO_SPANS} END",
             "found",
         )
@@ -165,7 +170,7 @@ def default_rules() -> list[Rule]:
     person = {"label": "PERSON", "score": 0.85, "validate": _template(validators.plausible_person(_VALUE))}
     address = {"label": "LOCATION", "context": fixed.ADDRESS_CONTEXT}
     return [
-        Rule("email", "EMAIL_ADDRESS", fixed.EMAIL, 0.95, fixed.EMAIL_CONTEXT, any_of=("@",)),
+        Rule("email", "EMAIL_ADDRESS", fixed.EMAIL, 0.95, fixed.EMAIL_CONTEXT, any_of=("@",), locate=email_matches),
         Rule("phone_india", pattern=fixed.PHONE_INDIA, score=0.95, **phone),
         Rule("phone_std", pattern=fixed.PHONE_STD, score=0.85, **phone),
         Rule("phone_mobile", pattern=fixed.PHONE_MOBILE, score=0.65, **phone),
