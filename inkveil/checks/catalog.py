@@ -27,6 +27,7 @@ from inkveil.plans import runs
 from inkveil.plans.redact import redact, redact_documents
 from inkveil.sources import paragraphs as par, sinks, uploads
 from inkveil.sources.tables import read_table
+from inkveil.streaming.mapping_stream import MAPPING, mapping_stream
 from inkveil.streaming.redact_stream import arriving_documents, redact_stream, redact_upload_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -637,6 +638,21 @@ def _(spark, sf_dir):
     return m.export_mapping(m.mapping_of(found_in(texts(spark, sf_dir))))
 
 
+@register(
+    "M2_streamed_mapping",
+    o.with_query("SELECT DISTINCT category || '::' || v AS mapping_key, replacement FROM named", *o.entities("documents"), replaced()),
+)
+def _(spark, sf_dir):
+    """Half of the documents arrive in two batches, the rest after the query was started anew."""
+    folder = sinks.shared_folder(spark, "mapping")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    for half in (docs.where("doc_id % 2 = 0").repartition(2), docs.where("doc_id % 2 <> 0").coalesce(1)):
+        half.write.mode("append").parquet(f"{folder}/in")
+        arriving = arriving_documents(spark, f"{folder}/in", "doc_id bigint, text string", files_per_batch=1)
+        mapping_stream(arriving, ["doc_id"], f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(MAPPING).parquet(f"{folder}/out")
+
+
 @register(
     "M3_mapping_with_new_salt",
     o.with_query(
@@ -863,6 +879,32 @@ def _(spark, sf_dir):
     return sm.distinct_values(found_in(texts(spark, sf_dir)), [*KEYS, "start"])
 
 
+@register(
+    "G_DIST_distinct_ratio",
+    o.with_query(
+        "SELECT category AS entity_type, count(*) AS n,"
+        " count(DISTINCT regexp_replace(v, '^[\\s\\p{Z}\\x{85}]+|[\\s\\p{Z}\\x{85}]+$', '', 'g')) AS originals,"
+        " count(DISTINCT replacement) AS replacements, TRUE AS originals_within, TRUE AS replacements_within FROM named GROUP BY category",
+        *NAMED,
+    ),
+)
+def _(spark, sf_dir):
+    """Exact distinct counts, and whether the estimates merged from one sketch per source lie within their stated error."""
+    found = redact(texts(spark, sf_dir)).select(*KEYS, F.inline("entities"))
+    estimates = sm.distinct_ratios(sm.value_sketches(found, "src")).select(
+        "entity_type", "error", F.col("originals").alias("about_originals"), F.col("replacements").alias("about_replacements")
+    )
+    exact = found.groupBy("entity_type").agg(
+        F.count("*").alias("n"), F.countDistinct(F.expr(v.stripped("original_text"))).alias("originals"),
+        F.countDistinct("replacement").alias("replacements"),
+    )
+    within = [
+        (F.abs(F.col(f"about_{c}") - F.col(c)) <= F.greatest(F.lit(1.0), F.col("error") * F.col(c))).alias(f"{c}_within")
+        for c in ("originals", "replacements")
+    ]
+    return exact.join(estimates, "entity_type").select("entity_type", "n", "originals", "replacements", *within)
+
+
 _GOLD = (
     "gold AS (SELECT sent_id, strpos(text, value) - 1 AS s, strpos(text, value) - 1 + length(value) AS e, category, value, text"
     " FROM sentences WHERE value IS NOT NULL UNION ALL"

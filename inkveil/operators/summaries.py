@@ -68,6 +68,43 @@ def distinct_values(entities: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
+# Sketches of 2 ** SKETCH_BITS places: a merged estimate errs by 1.04 / sqrt(places) in one standard deviation.
+SKETCH_BITS = 14
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def value_sketches(entities: DataFrame, *by: str) -> DataFrame:
+    """Per category and ``by`` (a day, a source): sketches of the distinct originals and replacements, and a count.
+
+    One pass with partial sketches per task; what crosses the exchange is one
+    sketch per task and group, however many values there are.  The rows can be
+    kept and merged later.
+    """
+    return entities.groupBy("entity_type", *by).agg(
+        F.hll_sketch_agg(F.expr(stripped("original_text")), SKETCH_BITS).alias("originals"),
+        F.hll_sketch_agg("replacement", SKETCH_BITS).alias("replacements"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
+def distinct_ratios(sketches: DataFrame, *by: str) -> DataFrame:
+    """Merged sketches: how many distinct originals and replacements there are per category (and ``by``), and their ratio.
+
+    Counts are within ``error`` (a share, three standard deviations) of the
+    exact ones.  A ratio clearly below 1 shows replacements shared by several
+    originals, as in a pool of names that is too small.
+    """
+    merged = sketches.groupBy("entity_type", *by).agg(
+        F.hll_union_agg("originals").alias("originals"), F.hll_union_agg("replacements").alias("replacements"), F.sum("n").alias("n")
+    )
+    estimates = merged.select(
+        "entity_type", *by, "n",
+        F.hll_sketch_estimate("originals").alias("originals"), F.hll_sketch_estimate("replacements").alias("replacements"),
+    )
+    ratio = F.when(F.col("originals") > 0, F.col("replacements") / F.col("originals"))
+    return estimates.withColumn("ratio", ratio).withColumn("error", F.lit(SKETCH_ERROR))
+
+
 def suspect_values(entities: DataFrame, order: Sequence[str]) -> DataFrame:
     """Distinct values that are probably no personal data, with the reason."""
     return (
