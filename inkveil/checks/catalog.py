@@ -418,7 +418,7 @@ def _(spark, sf_dir):
 
 _TERM_CASES = (
     "CASE k % 9 WHEN 0 THEN 'SEBI' WHEN 1 THEN 'Fax' WHEN 2 THEN 'q' || CAST(1 + k % 5 AS STRING)"
-    " WHEN 3 THEN 'Section' WHEN 4 THEN 'ABC' || CAST(k AS STRING) WHEN 5 THEN 'NATO' WHEN 6 THEN 'Wipro Limited'"
+    " WHEN 3 THEN 'Section' WHEN 4 THEN 'ABC' || CAST(k AS STRING) WHEN 5 THEN 'NATO' WHEN 6 THEN 'Harborline Limited'"
     " WHEN 7 THEN ' Page ' ELSE 'Anna Berg' END"
 )
 
@@ -1138,8 +1138,8 @@ def _(spark, sf_dir):
 @register(
     "U1_own_rule",
     o.with_query(
-        "SELECT 'sent' AS src, sent_id AS id, 0 AS para, 'ORDER' AS entity_type, '1234567890' AS original_text, 14 AS start,"
-        ' 24 AS "end", CAST(1.0 AS DOUBLE) AS score FROM sentences WHERE text = \'Order number: 1234567890\'',
+        "SELECT 'sent' AS src, sent_id AS id, 0 AS para, 'ORDER' AS entity_type, '1277304412' AS original_text, 13 AS start,"
+        ' 23 AS "end", CAST(1.0 AS DOUBLE) AS score FROM sentences WHERE text = \'Parcel order 1277304412\'',
         o.sentences_cte(),
     ),
 )

@@ -105,9 +105,9 @@ RECIPES = [
         f"CASE WHEN k % 4 <> 2 THEN {_FIRST} || ' ' || {_LAST} END", "1", "PERSON",
     ),
     (
-        "CASE k % 5 WHEN 0 THEN 'Net revenue was 12,34,56,789 for FY 2023'"
-        " WHEN 1 THEN 'Refer to Section 91 of the Act' WHEN 2 THEN 'Order number: 1234567890'"
-        " WHEN 3 THEN '' ELSE 'Page ' || CAST(k AS STRING) || ' of the report' END",
+        "CASE k % 5 WHEN 0 THEN 'Turnover came to 98,76,54,321 in FY 2023'"
+        " WHEN 1 THEN 'As told in part 91 above' WHEN 2 THEN 'Parcel order 1277304412'"
+        " WHEN 3 THEN '' ELSE 'Sheet ' || CAST(k AS STRING) || ' in this bundle' END",
         "CAST(NULL AS STRING)", "0", "NONE",
     ),
 ]

@@ -80,9 +80,10 @@ def redaction_log(
 
 
 def log_preview(log: DataFrame) -> DataFrame:
-    """The log with originals and replacements cut for display."""
+    """The log with originals and replacements cut for display, and the paragraph's context if the log carries it."""
     n = fixed.LOG_PREVIEW_CHARS
     return log.select(
+        *[c for c in ("context",) if c in log.columns],
         "entity_type",
         F.substring("original_text", 1, n).alias("original_preview"),
         F.substring("replacement_text", 1, n).alias("replacement_preview"),

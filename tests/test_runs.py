@@ -143,3 +143,45 @@ def test_files_of_the_log_follow_its_size(spark, sf_dir, tmp_path):
     log = spark.read.parquet(str(tmp_path / "log"))
     files = [f for _, _, names in os.walk(tmp_path / "log") for f in names if f.endswith(".parquet")]
     assert len(files) == log.select("entity_type").distinct().count() and "context" in log.columns
+
+
+def test_preview_shows_the_context(spark, paragraphs):
+    log = sinks.redaction_log(redact(paragraphs), ["doc_id"], context="context")
+    assert sinks.log_preview(log).columns == ["context", "entity_type", "original_preview", "replacement_preview"]
+    assert "context" not in sinks.log_preview(sinks.redaction_log(redact(paragraphs), ["doc_id"])).columns
+
+
+def test_mapping_stream_emits_each_pair_once(spark, tmp_path):
+    """Over batches, a restart, and a batch whose record was lost."""
+    from inkveil.operators.mapping import export_mapping, mapping_of
+    from inkveil.operators.detect import explode_entities
+    from inkveil.streaming.mapping_stream import MAPPING, mapping_stream
+
+    docs = [(i, t) for i, t in enumerate(TEXTS + TEXTS + ["bo@x.org bo@x.org SSN: 321-54-9876"])]
+    schema = "doc_id long, text string"
+    out, check = str(tmp_path / "out"), tmp_path / "check"
+    for part in (docs[:3], docs[3:6], docs[6:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        mapping_stream(stream(), ["doc_id"], out, str(check)).awaitTermination()
+    last = max(int(p.name) for p in (check / "commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if (check / "commits" / name).exists():
+            (check / "commits" / name).unlink()
+    mapping_stream(stream(), ["doc_id"], out, str(check)).awaitTermination()
+    got = sorted(map(tuple, spark.read.schema(MAPPING).parquet(out).collect()))
+    found = explode_entities(detect(body_paragraphs(spark.createDataFrame(docs, schema), ["doc_id"])), drop=["text"])
+    assert got == sorted(map(tuple, export_mapping(mapping_of(found)).collect())) and len(got) == 4
+
+
+def test_merged_sketches_equal_one_sketch(spark):
+    from inkveil.operators.summaries import distinct_ratios, value_sketches
+
+    rows = spark.range(60_000).selectExpr(
+        "id % 3 AS day", "'PHONE' AS entity_type", "concat(' ', id % 40000) AS original_text", "cast(id % 20000 AS string) AS replacement"
+    )
+    merged = distinct_ratios(value_sketches(rows, "day")).first()
+    assert merged["n"] == 60_000
+    for name, exact in (("originals", 40_000), ("replacements", 20_000)):
+        assert abs(merged[name] - exact) <= merged["error"] * exact
+    assert abs(merged["ratio"] - 0.5) < 0.03
