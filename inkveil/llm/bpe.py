@@ -14,7 +14,7 @@ on the bound.  Decoding takes a bounded number of ids at a time.
 
 As the state after a prefix does not depend on what follows, words are taken in
 sorted order and share the states of common prefixes; results are remembered
-for words met again, up to a bound in bytes, until the end of the task.
+for words met again, up to a fixed number of them.
 
 Edge cases: NULL text encodes and decodes like the empty text, to no ids and
 an empty string.  Strings of special tokens inside a text become their ids, as
@@ -36,8 +36,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, functions as F
 
-# Bytes of remembered chunks, each with so much besides its characters and ids, in each of two generations; known pairs.
-REMEMBERED, OVERHEAD, PAIRS = 64 << 20, 200, 500_000
+REMEMBERED = 500_000
 # Longer words are streamed.
 SHORT = 256
 # So many ids are decoded at a time.
@@ -89,13 +88,8 @@ class Transducer:
         self._inner = {s: self.ids[s] for s in whole if not s.endswith(self.suffix)}
         self._final = {s.removesuffix(self.suffix): self.ids[s] for s in whole if s.endswith(self.suffix)}
         self._pairs: dict[int, bool] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        """Drop what is remembered of chunks, as at the end of a task."""
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
-        self._held = 0
 
     def _neighbours(self, left: str, right: str, limit: float) -> bool:
         """Whether no merge below the rank ``limit`` joins the end of ``left`` with the begin of ``right``.
@@ -119,7 +113,7 @@ class Transducer:
 
     def _check(self, key: int) -> bool:
         known = key >> 16 == START or self._neighbours(self.pieces[key >> 16], self.pieces[key & 0xFFFF], math.inf)
-        if len(self._pairs) >= PAIRS:
+        if len(self._pairs) >= REMEMBERED:
             self._pairs.clear()
         self._pairs[key] = known
         return known
@@ -265,13 +259,12 @@ class Transducer:
         yield from self._encode_group(group)
 
     def _encode_group(self, group: list[list[list[str] | bytes]]) -> Iterator[bytes]:
-        if self._held > REMEMBERED:
-            self._known, self._older, self._held = {}, self._known, 0
+        if len(self._known) >= REMEMBERED:
+            self._known, self._older = {}, self._known
         missing = set().union(*(p for parts in group for p in parts if isinstance(p, list))).difference(self._known)
         old = missing.intersection(self._older)
         self._known.update(zip(old, map(self._older.__getitem__, old)))
         self.learn(missing - old)
-        self._held += sum(OVERHEAD + 4 * len(c) + len(self._known[c]) for c in missing)
         for parts in group:
             yield b"".join([p if isinstance(p, bytes) else self._encode_chunks(p) for p in parts])
 
@@ -354,11 +347,8 @@ def encoded(text: Column, path: str) -> Column:
     @F.pandas_udf("binary")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = transducer(path)
-        try:
-            for batch in texts:
-                yield pd.Series([*machine.encode_all(batch)], dtype=object)
-        finally:
-            machine.forget()
+        for batch in texts:
+            yield pd.Series([*machine.encode_all(batch)], dtype=object)
 
     return encode(text)
 
@@ -389,10 +379,7 @@ def round_trip(text: Column, path: str) -> Column:
                 back.update(step.encode("utf-8", "surrogatepass"))
             return len(ids) // 4, hashlib.sha256(ids).hexdigest(), back.hexdigest()
 
-        try:
-            for batch in texts:
-                yield pd.DataFrame([*map(row, machine.encode_all(batch))], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        finally:
-            machine.forget()
+        for batch in texts:
+            yield pd.DataFrame([*map(row, machine.encode_all(batch))], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests(text)

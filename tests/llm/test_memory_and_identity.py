@@ -1,15 +1,11 @@
 """Bounds of what workers remember, words that a weaker hash would confuse, ids that come again."""
 
 import random
-from array import array
 
 import numpy as np
-import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
 
-from inkveil.llm import bpe, near, queries, toxic
-from pyspark.sql import functions as F
+from inkveil.llm import near, toxic
 
 
 def thue_morse(size: int) -> str:
@@ -55,30 +51,3 @@ def test_scorer_forgets_within_its_bound(monkeypatch):
         got.append(score)
         assert scorer.held <= 9000
     assert np.allclose(got, wanted)
-
-
-def test_encoder_forgets_within_its_bound(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
-    monkeypatch.setattr(bpe, "TOGETHER", 500)
-    path = public_tokenizers.path(queries.TOKENIZER)
-    machine, library, chance = bpe.Transducer(path), Tokenizer.from_file(path), random.Random(4)
-    texts = [" ".join("".join(chance.choices("abcdeft,", k=8)) for _ in range(60)) for _ in range(200)]
-    for text, ids in zip(texts, machine.encode_all(texts)):
-        assert list(array("I", ids)) == library.encode(text, add_special_tokens=False).ids
-        assert sum(200 + 4 * len(c) + len(i) for c, i in machine._known.items()) < 20_000 + 60 * 300
-    machine.forget()
-    assert not machine._known and not machine._older
-
-
-def test_encoding_forgets_at_the_end_of_a_task(spark):
-    path = public_tokenizers.path(queries.TOKENIZER)
-
-    def left(batches):
-        import pandas as pd
-
-        for _ in batches:
-            yield pd.DataFrame({"n": [len(bpe.transducer(path)._known)]})
-
-    docs = spark.range(4).select(F.lit("some words").alias("text")).coalesce(1)
-    docs.select(bpe.round_trip(F.col("text"), path)).collect()
-    assert [r["n"] for r in docs.mapInPandas(left, "n long").collect()] == [0]
