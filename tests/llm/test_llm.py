@@ -229,14 +229,46 @@ def test_ring_odd_rows(odd):
 def test_mtree_is_exact():
     rng = np.random.default_rng(4)
     vectors = rng.integers(-60, 60, (1500, 8))
-    tree = mtree.MTree(np.arange(1500), vectors)
+    tree = mtree.MTree(np.arange(1500), vectors / mtree.SCALE)
     for q in range(40):
         scores = vectors @ vectors[q]
         wanted = sorted(((-s, i) for i, s in enumerate(scores.tolist()) if i != q))[:5]
-        assert tree.search(vectors[q], 5, q) == [(-s, i) for s, i in wanted]
+        assert tree.search(vectors[q] / mtree.SCALE, 5, q) == [(-s, i) for s, i in wanted]
     assert tree.scored < 40 * 1500  # bounds spare some
 
 
+def test_mtree_spares_rows_of_groups():
+    rng = np.random.default_rng(5)
+    vectors = (rng.integers(-3000, 3000, (30, 16))[rng.integers(0, 30, 3000)] + rng.integers(-40, 40, (3000, 16))).astype(float)
+    tree = mtree.MTree(np.arange(3000), vectors)
+    for q in range(0, 3000, 100):
+        wanted = sorted((-int(s), i) for i, s in enumerate((vectors @ vectors[q]) * mtree.SCALE**2) if i != q)[:5]
+        assert tree.search(vectors[q], 5, q) == [(-s, i) for s, i in wanted]
+    assert tree.scored < 30 * 3000 / 5
+
+
+@pytest.mark.parametrize("size", [1.0, 2.0**20, 2.0**39, 2.0**62, 2.0**300, 2.0**1000])
+def test_mtree_with_large_components(spark, size):
+    rng = np.random.default_rng(6)
+    given = [(i, [float(x) for x in rng.normal(size=6) * (size if i % 7 == 0 else 1.0)]) for i in range(120)]
+    given += [(200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, []), (None, [1.0] * 6)]
+    given += [given[0], (14, given[14][1]), (14, [3.0] * 6), (300, given[5][1]), (301, [1.0])]  # repeated rows, ties, other lengths
+    table = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+    v = table.select("vec_id", mtree.integers(F.col("embedding")).alias("v")).where("v IS NOT NULL AND vec_id IS NOT NULL")
+    got = {}
+    for r in mtree.best_of(v, v.where("vec_id % 7 = 0"), 5, page_rows=40, block_rows=9).collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    rows = [(i, mtree.whole(np.floor(np.array(e) * 256) / 256 if size < 2.0**40 else np.array([x if abs(x) >= 2.0**45 else np.floor(x * 256) / 256 for x in e])).tolist())
+            for i, e in given if i is not None and e and None not in e and all(map(np.isfinite, e))]
+    for query in range(0, 120, 7):
+        wanted = []
+        for vector in {tuple(e) for i, e in rows if i == query}:
+            scores = sorted((-sum(a * b for a, b in zip(vector, e)), i) for i, e in rows if i != query and len(e) == len(vector))[:5]
+            wanted += [(min(mtree.MOST, max(mtree.LEAST, -s)), i) for s, i in scores]
+        assert sorted(got[query]) == sorted(wanted)
+    assert mtree.best_of(v.limit(0), v.limit(0), 5).count() == 0
+
+
 def test_chat_odd_rows(spark):
     rows = [(1, 0, "user", None, 0), (1, 0, None, "x", 0), (2, None, "assistant", "\\ ### </turn>", 0), (None, 1, "a: b", "", 0)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, html int")
