@@ -348,6 +348,56 @@ def _(spark, sf_dir):
     return _named(dictionary.joined_mentions(notes, dictionary.normalized(long_names(spark, sf_dir)), KEYS))
 
 
+# Twelve words on a line of an order; its phrase is the first 3 to 12 of them.
+_LINE_WORDS = (
+    "concat_ws(' ', p_name, lower(p_type), 'item', l_partkey, 'from', l_suppkey, 'line', l_linenumber, 'for', l_orderkey, 'today')"
+)
+_LINE_LENGTH = "3 + (l_orderkey + l_linenumber) % 10"
+
+
+def line_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase per order line: a dictionary that grows with the data, full of phrases that begin others."""
+    words = F.split(F.expr(_LINE_WORDS), " ")
+    phrase = F.array_join(F.slice(words, 1, F.expr(f"CAST({_LINE_LENGTH} AS INT)")), " ")
+    return _lines(spark, sf_dir).select(phrase.alias("phrase"), F.lit("ORG").alias("entity_type"))
+
+
+def line_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note per order that lists its lines."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.expr(_LINE_WORDS).alias("w")))), lambda x: x.w), " and ")
+    return _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.concat(F.lit("order of "), listed).alias("text")).select(
+        F.lit("note").alias("src"), F.col("l_orderkey").alias("id"), F.lit(0).alias("para"), "text"
+    )
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    return read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(
+        parts, F.expr("l_partkey = p_partkey")
+    )
+
+
+@register(
+    "D18_phrase_trie",
+    f"WITH l AS (SELECT l_orderkey, l_linenumber, {_LINE_WORDS} AS w, {_LINE_LENGTH} AS n FROM lineitem JOIN part ON l_partkey = p_partkey),"
+    " phrases AS (SELECT DISTINCT array_to_string(string_split(w, ' ')[1:n], ' ') AS phrase FROM l),"
+    " notes AS (SELECT l_orderkey AS id, string_split('order of ' || string_agg(w, ' and ' ORDER BY l_linenumber, w), ' ') AS t"
+    " FROM l GROUP BY l_orderkey),"
+    " places AS (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM notes),"
+    " grams AS (SELECT id, t, i, unnest(range(3, 13)) AS k FROM places),"
+    " found AS (SELECT id, t, i, array_to_string(t[i:i + k - 1], ' ') AS g FROM grams WHERE i + k - 1 <= len(t))"
+    " SELECT 'note' AS src, id, 0 AS para, g AS original_text,"
+    " CAST(length(array_to_string(t[1:i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS INT) AS start,"
+    " CAST(length(array_to_string(t[1:i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END + length(g) AS INT) AS \"end\""
+    " FROM found JOIN phrases ON g = phrase",
+)
+def _(spark, sf_dir):
+    """Every listed phrase at every place, those inside others too."""
+    phrases = dictionary.normalized(line_phrases(spark, sf_dir))
+    named = dictionary.joined_mentions(line_notes(spark, sf_dir), phrases, KEYS)
+    return explode_entities(named, "mentions", drop=["text"]).select("src", "id", "para", "original_text", "start", "end")
+
+
 # -- validators and filters -------------------------------------------------
 def unchecked(spark: SparkSession, sf_dir: str, rule: str, check: str) -> DataFrame:
     """Matches of a rule's pattern before its validator, with the verdict."""

@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +219,33 @@ def test_dictionary_ways_agree(spark, monkeypatch, limit):
     assert [e[2] for e in found[4]] == [0, 5]
 
 
+@pytest.mark.parametrize("limits", [{}, {"BROADCAST_PHRASES": 0}, {"BROADCAST_PHRASES": 0, "BROADCAST_PREFIXES": 0}])
+def test_phrase_trie(spark, monkeypatch, limits):
+    """Every listed word sequence is found, by few others: those on listed prefixes."""
+    for name, value in limits.items():
+        monkeypatch.setattr(dictionary, name, value)
+    rng = np.random.default_rng(3)
+    letters = "abcd"
+    listed = sorted({" ".join(rng.choice(list(letters), int(n))) for n in rng.integers(1, 14, 60)})
+    texts = [" ".join(rng.choice(list(letters + "xyz"), 200)) + " " + " ".join(rng.choice(listed, 5)) for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    phrases = dictionary.normalized(spark.createDataFrame([(p, "ORG") for p in listed], "phrase string, entity_type string"))
+    named = dictionary.joined_mentions(rows, phrases, ["i"])
+    got = sorted((r.i, m.start, m.original_text) for r in named.collect() for m in r.mentions)
+    wanted, prefixes = [], {tuple(p.split()[:n]) for p in listed for n in range(1, 15)}
+    on_prefixes = 0
+    for i, text in enumerate(texts):
+        words = text.split()
+        for at in range(len(words)):
+            for n in range(1, 15):
+                if at + n <= len(words):
+                    on_prefixes += tuple(words[at : at + n]) in prefixes
+                    if " ".join(words[at : at + n]) in listed:
+                        wanted.append((i, 2 * at, " ".join(words[at : at + n])))
+    assert got == sorted(wanted)
+    assert dictionary.grams_on_prefixes(rows, phrases, ["i"], "text").count() < 2 * on_prefixes
+
+
 def test_hot_dictionary_phrase(spark, monkeypatch):
     """A phrase that makes up most rows goes through the salted join whole."""
     monkeypatch.setattr(dictionary, "INLINE_PHRASES", 0)
