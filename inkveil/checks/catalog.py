@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkveil.checks import oracle as o
 from inkveil.checks.derived import sentences, texts
-from inkveil.checks.oracle_values import CHAINED, REDACTED, VALUES, replaced
-from inkveil.functions import fixed_values as fixed, validators as v
+from inkveil.checks.oracle_values import CHAINED, REDACTED, VALUES, distinct_numbers, replaced
+from inkveil.functions import bijection, fixed_values as fixed, validators as v
 from inkveil.functions.columns import is_blank, let, segments
-from inkveil.functions.replacements import with_replacements
+from inkveil.functions.replacements import DEFAULT_SALT, with_replacements
 from inkveil.operators import dictionary, evaluate as ev, mapping as m, summaries as sm
 from inkveil.operators.detect import (
     at_least, detect, drop_contained, explode_entities, in_reading_order, keep_earliest, rename_labels,
@@ -657,6 +657,21 @@ for _number, _category in enumerate(VALUES, start=1):
         ),
     )(_generated(_category))
 
+
+@register(
+    "G4_G6_distinct_numbers",
+    o.with_query(
+        "SELECT DISTINCT category AS entity_type, v AS original_text, distinct_replacement AS replacement, v AS restored FROM permuted",
+        *NAMED, distinct_numbers(),
+    ),
+)
+def _(spark, sf_dir):
+    """Different numbers, different replacements; the salt restores the originals."""
+    found = found_in(texts(spark, sf_dir)).where(F.col("entity_type").isin(list(bijection.NUMBERS)))
+    made = m.mapping_of(found, distinct=True)
+    return made.withColumn("restored", F.expr(bijection.original_of("entity_type", "replacement", DEFAULT_SALT)))
+
+
 _DISPATCH = f"CASE c_custkey % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'SSN' WHEN 2 THEN 'EMAIL' ELSE 'PASSPORT' END"
 
 

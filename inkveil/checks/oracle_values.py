@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkveil.functions import fixed_values as fixed
+from inkveil.functions import bijection, fixed_values as fixed
 from inkveil.functions.columns import quotes
 from inkveil.functions.replacements import DEFAULT_SALT
 
@@ -69,6 +69,59 @@ def replaced(source: str = "ents", out: str = "named", salt: str = DEFAULT_SALT,
     )
 
 
+def _permuted_rounds(salt: str) -> list[str]:
+    """CTEs ``round0`` to ``round8``: one round of the permutation each, on parts ``l`` and ``r``."""
+    steps = []
+    for i in range(bijection.ROUNDS):
+        own, other, size = ("l", "r", "ls") if i % 2 == 0 else ("r", "l", "rs")
+        added = f"CAST('0x' || substr(sha256(concat_ws('|', '{salt}', tweak, {i}, {other})), 1, 15) AS BIGINT)"
+        steps.append(f"round{i + 1} AS MATERIALIZED (SELECT * REPLACE (({own} + {added} % {size}) % {size} AS {own}) FROM round{i})")
+    return steps
+
+
+def distinct_numbers(source: str = "named", out: str = "permuted", salt: str = DEFAULT_SALT) -> str:
+    """CTEs that add ``distinct_replacement`` to entities with SSN, card and phone numbers (other rows are left out)."""
+    ten = "CAST(power(10, {}) AS BIGINT)".format
+    kept = (
+        "CASE WHEN category = 'CREDIT_CARD' THEN 1 WHEN regexp_matches(v, '^[^0-9]*[+]') THEN"
+        " CASE WHEN regexp_matches(v, '^[^0-9]*[+][^0-9]*[0-9]{1,3}[^0-9]')"
+        " THEN length(regexp_extract(v, '^[^0-9]*[+][^0-9]*([0-9]{1,3})[^0-9]', 1)) ELSE 2 END"
+        " WHEN length(d) = 12 THEN 2 WHEN d LIKE '0%' THEN CASE WHEN length(d) >= 9 THEN 3 ELSE 1 END"
+        " WHEN d LIKE '1%' THEN CASE WHEN length(d) >= 10 THEN 4 ELSE 1 END ELSE 0 END"
+    )
+    area = "CAST(substr(v, 1, 3) AS BIGINT)"
+    luhn = (
+        "list_sum(list_transform(range(1, length(body2) + 1), lambda i: list_extract([0,2,4,6,8,1,3,5,7,9,0,1,2,3,4,5,6,7,8,9],"
+        " CAST(substr(body2, length(body2) + 1 - i, 1) AS INT) + 1 + CASE WHEN i % 2 = 1 THEN 0 ELSE 10 END)))"
+    )
+    in_place = (
+        "list_reduce(list_prepend('', list_transform(range(1, length(v) + 1), lambda i: CASE WHEN regexp_matches(substr(v, i, 1), '[0-9]')"
+        " THEN substr(d2, length(regexp_replace(substr(v, 1, i), '[^0-9]', '', 'g')), 1) ELSE substr(v, i, 1) END)), lambda x, y: x || y)"
+    )
+    return ", ".join([
+        f"digits AS (SELECT DISTINCT category, v, replacement, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM {source} WHERE category IN ('SSN', 'CREDIT_CARD', 'PHONE'))",
+        "bodies AS (SELECT *, CASE WHEN category = 'CREDIT_CARD' THEN substr(d, 1, length(d) - 1) ELSE d END AS body, " + kept + " AS kept FROM digits)",
+        "rests AS (SELECT *, substr(body, kept + 1) AS rest FROM bodies)",
+        "sides AS (SELECT *, CASE WHEN rest >= '6' THEN 6 WHEN kept = 0 THEN 2 ELSE 0 END AS low,"
+        " CASE WHEN rest >= '6' OR kept = 0 THEN 4 ELSE 6 END AS size, length(rest) // 2 AS tail, length(rest) - length(rest) // 2 AS half FROM rests)",
+        "round0 AS MATERIALIZED (SELECT *,"
+        f" CASE WHEN category = 'SSN' THEN ({area} - 1 - CASE WHEN {area} > 666 THEN 1 ELSE 0 END) * 99 + CAST(substr(v, 5, 2) AS BIGINT) - 1"
+        f" ELSE CAST(substr(rest, 1, half) AS BIGINT) - low * {ten('half - 1')} END AS l,"
+        " CASE WHEN category = 'SSN' THEN CAST(substr(v, 8, 4) AS BIGINT) - 1 ELSE coalesce(TRY_CAST(substr(rest, half + 1) AS BIGINT), 0) END AS r,"
+        f" CASE WHEN category = 'SSN' THEN 998 * 99 ELSE size * {ten('half - 1')} END AS ls,"
+        f" CASE WHEN category = 'SSN' THEN 9999 ELSE {ten('tail')} END AS rs,"
+        " CASE category WHEN 'SSN' THEN 'SSN' ELSE concat_ws('|', CASE category WHEN 'PHONE' THEN 'PHONE' ELSE 'CARD' END,"
+        " substr(body, 1, kept), low, length(rest)) END AS tweak FROM sides)",
+        *_permuted_rounds(salt),
+        "joined AS (SELECT *, substr(body, 1, kept) || lpad(CAST(l + low * " + ten("half - 1") + " AS VARCHAR), half::INT, '0')"
+        f" || CASE WHEN tail > 0 THEN lpad(CAST(r AS VARCHAR), tail::INT, '0') ELSE '' END AS body2 FROM round{bijection.ROUNDS})",
+        f"checked AS (SELECT *, CASE WHEN category = 'CREDIT_CARD' THEN body2 || CAST((10 - {luhn} % 10) % 10 AS VARCHAR) ELSE body2 END AS d2 FROM joined)",
+        f"{out} AS MATERIALIZED (SELECT *, CASE WHEN category = 'SSN' THEN lpad(CAST(l // 99 + 1 + CASE WHEN l // 99 + 1 >= 666 THEN 1 ELSE 0 END AS VARCHAR), 3, '0')"
+        " || '-' || lpad(CAST(l % 99 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(r + 1 AS VARCHAR), 4, '0')"
+        f" WHEN category = 'PHONE' AND (length(d) < 6 OR length(d) > 18) THEN replacement ELSE {in_place} END AS distinct_replacement FROM checked)",
+    ])
+
+
 REDACTED = (
     "gaps AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY src, id, para ORDER BY s), 0) AS before FROM named),"
     " stitched AS (SELECT g.src, g.id, g.para, string_agg(substr(t.text, g.before + 1, g.s - g.before) || g.replacement, ''"

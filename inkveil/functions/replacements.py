@@ -7,7 +7,7 @@ registry; another salt gives another mapping.
 
 from __future__ import annotations
 
-from inkveil.functions import fixed_values as fixed
+from inkveil.functions import bijection, fixed_values as fixed
 from inkveil.functions.columns import each, fresh, let, quote, quotes
 
 DEFAULT_SALT = "inkveil"
@@ -117,9 +117,14 @@ def address(h: str) -> str:
 
 
 def replacement(
-    entity_type: str, original: str, salt: str = DEFAULT_SALT, as_of: str = DEFAULT_AS_OF, masked: bool = False
-) -> str:
-    """SQL for the replacement of one value; unknown categories are masked."""
+    entity_type: str, original: str, salt: str = DEFAULT_SALT, as_of: str = DEFAULT_AS_OF, masked: bool = False,
+    distinct: bool = False,
+) -> str:
+    """SQL for the replacement of one value; unknown categories are masked.
+
+    ``distinct`` permutes the digits of SSN, cards and phones, so that different
+    numbers never share a replacement (``functions/bijection.py``).
+    """
     if masked:
         return quote(fixed.MASK)
 
@@ -135,6 +140,8 @@ def replacement(
             "DATE_OF_BIRTH": birth_date(h, as_of),
             "ADDRESS": address(h),
         }
+        if distinct:
+            made |= {c: f"coalesce({permuted(original, salt)}, {made[c]})" for c, permuted in bijection.NUMBERS.items()}
         cases = " ".join(f"WHEN {quote(category)} THEN {value}" for category, value in made.items())
         return f"CASE {entity_type} {cases} ELSE {quote(fixed.MASK)} END"
 

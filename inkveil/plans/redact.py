@@ -19,17 +19,19 @@ def redact(
     masked: bool = False,
     salt: str = DEFAULT_SALT,
     as_of: str = DEFAULT_AS_OF,
+    distinct: bool = False,
     **detection,
 ) -> DataFrame:
     """Add ``entities`` (with replacements), ``redacted`` and ``changed``.
 
     A narrow transform: it neither shuffles nor keeps state, so it serves
     batches and streams alike.  ``mode='chained'`` replaces by string as older
-    tools do; ``masked=True`` writes one fixed mark instead of synthetic values.
+    tools do; ``masked=True`` writes one fixed mark instead of synthetic values;
+    ``distinct=True`` gives different numbers different replacements.
     """
     found = detect(paragraphs, text, "entities", **detection)
     named = found.withColumn(
-        "entities", F.expr(with_replacements("entities", salt=salt, as_of=as_of, masked=masked))
+        "entities", F.expr(with_replacements("entities", salt=salt, as_of=as_of, masked=masked, distinct=distinct))
     )
     redacted = named.withColumn("redacted", F.expr(MODES[mode](f"`{text}`", "entities")))
     return redacted.withColumn("changed", F.coalesce(F.col("redacted") != F.col(text), F.lit(False)))
@@ -43,6 +45,7 @@ def redact_documents(
     masked: bool = False,
     salt: str = DEFAULT_SALT,
     as_of: str = DEFAULT_AS_OF,
+    distinct: bool = False,
     **detection,
 ) -> DataFrame:
     """Redact whole documents paragraph by paragraph inside their row.
@@ -52,7 +55,7 @@ def redact_documents(
     """
 
     def paragraph(p: str) -> str:
-        named = with_replacements(entities_sql(p, **detection), salt=salt, as_of=as_of, masked=masked)
+        named = with_replacements(entities_sql(p, **detection), salt=salt, as_of=as_of, masked=masked, distinct=distinct)
         return let(named, lambda e: MODES[mode](p, e), "named")
 
     lines = each(f"split(`{text}`, {quote(chr(10))}, -1)", paragraph)
