@@ -21,6 +21,7 @@ from inkveil.operators import dictionary, evaluate as ev, mapping as m, summarie
 from inkveil.operators.detect import (
     at_least, detect, drop_contained, explode_entities, in_reading_order, keep_earliest, rename_labels,
 )
+from inkveil.operators.long_spans import resolve_long
 from inkveil.operators.rules import Rule, bounded_organization_rule, default_rules, rules_named, spans_of
 from inkveil.plans.evaluation import evaluate
 from inkveil.plans import runs
@@ -593,6 +594,20 @@ def _(spark, sf_dir):
     return explode_entities(rows.select(*KEYS, F.expr(keep_earliest(in_reading_order("raw_"))).alias("entities")))
 
 
+@register(
+    "R3_long_spans",
+    o.with_query(f"SELECT {SPAN_COLUMNS}, category AS entity_type, v AS original_text, score FROM ents", *o.entities("all")),
+)
+def _(spark, sf_dir):
+    """Spans that two detectors wrote as one long table each, resolved by cluster."""
+    rows = texts(spark, sf_dir)
+    halves = default_rules()[::2], default_rules()[1::2]
+    folder = sinks.shared_folder(spark, "spans")
+    for half in halves:
+        explode_entities(rows.select(*KEYS, F.expr(spans_of("text", half)).alias("entities"))).write.mode("append").parquet(folder)
+    return resolve_long(spark.read.parquet(folder), KEYS)
+
+
 def _detected_sql(source: str) -> str:
     return o.with_query(
         f"SELECT {SPAN_COLUMNS}, category AS entity_type, v AS original_text, score FROM ents", *o.entities(source)
