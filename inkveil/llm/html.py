@@ -14,7 +14,11 @@
    headers, footers, sidebars, notices, adverts, forms and comments are left
    out wherever they stand: by tag, or by a whole name in class, id or role
    (``sidebar``, ``site-header``, not ``has-sidebar``).  A name doesn't count on
-   what holds the ``main`` or most of the page's text (``read_again``).
+   what holds the ``main`` or most of the page's text (``read_again``), nor does a
+   tag such as ``form`` around the whole page (``opened_again``).
+
+Time and memory are linear in a page's length, however deep its elements nest:
+paths are numbers, and what lies in an element is a range of its page's blocks.
 
 Edge cases: NULL or empty html gives an empty text; pages without a host (NULL
 or odd urls) share one; pages cut off anywhere are read to their end; a page
@@ -26,6 +30,8 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -44,15 +50,24 @@ PARAGRAPH, BESIDE = 80, 0.2
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
 DROPPED = {
     "nav", "header", "footer", "aside", "form", "button", "select", "noscript", "template", "iframe", "svg", "dialog", "menu",
-    "object", "canvas", "audio", "video", "head", "fieldset", "datalist", "math",
+    "object", "canvas", "audio", "video", "head", "fieldset", "datalist", "annotation", "annotation-xml",
 } | RAW
+# Of these, what can stand around a whole page.
+WRAPPING = {"nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu"}
+# A form is read if it holds so many times the text of all else that is read.
+WHOLE_FORM = 2
+FORMULA = {
+    "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom",
+    "mfenced", "menclose", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr",
+    "mtd", "semantics", "annotation", "annotation-xml",
+}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
     "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
     "br", "wbr", "img",
-}
+} | FORMULA
 # Blocks that hold text themselves; all other blocks are containers.
 LEAVES = {"p", "pre", "li", "dt", "dd", "td", "th", "caption", "figcaption", "blockquote", "address", "summary"} | HEADINGS
 # Words in class, id or role that mark boilerplate.
@@ -83,9 +98,9 @@ AFTER = set(
 )
 KEPT_WHATEVER = {"html", "body", "main"} | HEADINGS
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
-)
+# Quotes count behind an equals sign only, and then up to the next one; no part of a tag is tried twice.
+_GIVEN = r"(?>[\s/]+|=?[^\s/>=]+(?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*|(?=>|\Z)))?+|=)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_GIVEN})(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _DIGITS = re.compile(r"\d+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -94,12 +109,20 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 @dataclass(slots=True)
 class Element:
     tag: str
-    path: str
+    name: str
+    path: int  # a number per path of names
     up: Element | None
-    dropped: bool
+    dropped: Element | None  # the nearest dropped element, itself included
     link: bool
+    first: int = 0  # of the page's blocks those from here
+    last: int = 0  # up to here lie in it
+    in_main: bool = False  # these three with the element itself
+    in_article: bool = False
+    wrapped: bool = False  # dropped by what can stand around a page only
+    number: int = 0  # of a dropped element, in page order
     score: float = 0.0
-    extra: int = 0  # characters in blocks that are no headings
+    unread: int = 0  # characters that are no link, of a dropped element's own text
+    holds_page: bool = False  # of a dropped element: a ``main``, an article or a paragraph lies in it
     mark: Element | None = None  # the nearest element, itself included, that its name marks as boilerplate
     apart: int = 0  # 1: marked as what is never an article, 2: as comments
     has_main: bool = False  # of a marked element: a ``main`` lies in it
@@ -108,11 +131,40 @@ class Element:
 @dataclass(slots=True)
 class Block:
     element: Element
+    place: int  # among all blocks of the page
     text: list[str] = field(default_factory=list)
     linked: int = 0
     cleaned: str | None = None
 
 
+@dataclass(slots=True)
+class Page:
+    blocks: list[Block]
+    containers: list[Element]
+    paths: dict[tuple[int, str], int]
+
+    def path_of(self, path: str) -> int | None:
+        """The number of a path, if the page has it."""
+        number: int | None = 0
+        for name in path.split("/")[1:]:
+            number = self.paths.get((number, name))
+            if number is None:
+                return None
+        return number
+
+    def between(self, first: int, last: int) -> list[Block]:
+        """The blocks with places from ``first`` to before ``last``."""
+        return self.blocks[bisect_left(self.blocks, first, key=lambda b: b.place) : bisect_left(self.blocks, last, key=lambda b: b.place)]
+
+
+def path_of(element: Element) -> str:
+    names = []
+    while element.up is not None:
+        names.append(element.name)
+        element = element.up
+    return "".join(f"/{n}" for n in reversed(names))
+
+
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if text and "=" in text or "hidden" in text else {}
 
@@ -163,15 +215,13 @@ def read_again(blocks: list[Block], marked: list[Element]) -> set[int]:
             read.update(id(o) for o in outer)
     weighed = []  # unlinked text, and the marked elements it lies in, from the outermost
     for block in blocks:
-        size, e, chain = len(clean(block)), block.element, []
+        size, chain = len(clean(block)), []
         gain = max(0.0, size - 2.0 * min(block.linked, size))
-        mark = e.mark
+        mark = block.element.mark
         while mark is not None:
             chain.append(mark)
             mark = mark.up.mark if mark.up is not None else None
-        while e is not None and e.tag != "article":
-            e = e.up
-        weighed.append((gain * (3 if e is not None else 1), chain[::-1]))
+        weighed.append((gain * (3 if block.element.in_article else 1), chain[::-1]))
     while True:
         seen, own, under = 0.0, dict.fromkeys(map(id, marked), 0.0), dict.fromkeys(map(id, marked), 0.0)
         for gain, chain in weighed:
@@ -193,30 +243,83 @@ def read_again(blocks: list[Block], marked: list[Element]) -> set[int]:
         read.add(id(most))
 
 
-def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
+def opened_again(page: Page, dropped: list[Element]) -> set[int]:
+    """Numbers of dropped elements that stand around the page and are read nevertheless, with those around them.
+
+    A form with ``WHOLE_FORM`` times the text of all else, if it holds paragraphs
+    or an article; any other of ``WRAPPING`` only while the page has no text.
+    """
+    seen = sum(max(0, len(clean(b)) - 2 * b.linked) for b in page.blocks)
+    able = [e for e in dropped if e.wrapped and e.holds_page and e.unread > (WHOLE_FORM * seen if e.tag in ("form", "fieldset") else 0)]
+    most = max((e for e in able if not seen or e.tag in ("form", "fieldset")), key=lambda e: e.unread, default=None)
+    opened = set()
+    while most is not None:
+        opened.add(most.number)
+        most = most.up.dropped if most.up is not None else None
+    return opened
+
+
+def page_of(html: str) -> Page:
     """Text blocks outside boilerplate in page order, and the containers."""
-    root = Element("", "", None, False, False)
+    opened: set[int] = set()
+    while True:
+        page, marked, dropped = parsed(html, opened)
+        more = opened_again(page, dropped)
+        if not more:
+            break
+        opened |= more  # at least doubles the text that is read
+    if not marked:
+        return page
+    read = read_again(page.blocks, marked)
+    is_read: dict[int, bool] = {}
+    for e in marked:  # outer ones come first
+        around = e.up.mark if e.up is not None else None
+        is_read[id(e)] = id(e) in read and (around is None or is_read[id(around)])
+
+    def kept(element: Element) -> bool:
+        return element.mark is None or is_read[id(element.mark)]
+
+    return Page([b for b in page.blocks if kept(b.element)], [e for e in page.containers if kept(e)], page.paths)
+
+
+def parsed(html: str, opened: set[int]) -> tuple[Page, list[Element], list[Element]]:
+    """The page, its marked elements and its dropped ones; dropped elements with numbers in ``opened`` are plain ones."""
+    root = Element("", "", 0, None, None, False)
     at, now = 0, root
     block: Block | None = None
     blocks: list[Block] = []
     containers: list[Element] = []
     marked: list[Element] = []
-    size = len(html)
+    dropped: list[Element] = []
+    paths: dict[tuple[int, str], int] = {}
+    still_open: Counter[str] = Counter()
+    size, numbers = len(html), 0
 
     def say(text: str) -> None:
         nonlocal block
-        if now.dropped or not text:
+        if not text:
+            return
+        if now.dropped is not None:
+            if not now.link:
+                now.dropped.unread += len(text.strip())
             return
         if block is None:
             holder = now
             while holder.tag in INLINE:
                 holder = holder.up
-            block = Block(holder)
+            block = Block(holder, len(blocks))
             blocks.append(block)
         block.text.append(text)
         if now.link:
             block.linked += len(text)
 
+    def close_to(element: Element) -> None:
+        nonlocal now
+        while now is not element:
+            still_open[now.tag] -= 1
+            now.last = len(blocks)
+            now = now.up
+
     for match in _TOKEN.finditer(html):
         if match.start() < at:
             continue
@@ -232,6 +335,8 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
         if not inline:
             block = None
         if match[1]:
+            if not still_open[tag]:
+                continue
             seen = now
             while seen.up is not None and seen.tag != tag:
                 if inline and seen.tag not in INLINE:
@@ -239,14 +344,14 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
                     break
                 seen = seen.up
             if seen.up is not None:
-                now = seen.up
+                close_to(seen.up)
             continue
         if not inline:
             # A block ends what can't hold it: open inline elements in a paragraph, and the paragraph.
             seen = now
             while seen.up is not None and (seen.tag in INLINE or seen.tag in LEAVES):
                 if seen.tag == "p" or seen.tag in HEADINGS or seen.tag == tag and tag in ("li", "td", "th", "dt", "dd"):
-                    now = seen.up
+                    close_to(seen.up)
                     break
                 if seen.tag not in INLINE:
                     break
@@ -259,34 +364,41 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
             name += "." + _DIGITS.sub("#", label[0])
         elif label := given.get("id", ""):
             name += "#" + _DIGITS.sub("#", label)
-        dropped = now.dropped or is_dropped(tag, given)
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(html, at)
             at = end.start() if end else size
             continue
         if match[3].endswith("/") and tag not in INLINE and tag not in LEAVES:
             continue
-        now = Element(tag, f"{now.path}/{name}", now, dropped, now.link or tag == "a", mark=now.mark)
-        if not dropped and (tag == "main" or given.get("role") == "main") and now.mark is not None:
+        path = now.path
+        for part in name.split("/"):
+            path = paths.setdefault((path, part), len(paths) + 1)
+        outer, now = now, Element(tag, name, path, now, now.dropped, now.link or tag == "a", len(blocks), mark=now.mark)
+        still_open[tag] += 1
+        is_main = tag == "main" or given.get("role") == "main"
+        now.in_main, now.in_article = outer.in_main or tag == "main", outer.in_article or tag == "article"
+        if is_dropped(tag, given):
+            numbers += 1
+            if numbers not in opened:
+                visible = tag in WRAPPING and "hidden" not in given and given.get("aria-hidden") != "true"
+                now.wrapped = visible and (outer.dropped is None or outer.dropped.wrapped)
+                now.dropped, now.number = now, numbers
+                dropped.append(now)
+        if now.dropped is not None:
+            now.dropped.holds_page |= is_main or tag in ("article", "p")
+            continue
+        if is_main and now.mark is not None:
             now.mark.has_main = True
-        elif not dropped and (found := marks(tag, given)):
+        elif found := marks(tag, given):
             now.mark, now.apart = now, 2 if found & COMMENTS else 1 if found & APART else 0
             marked.append(now)
-        if not inline and tag not in LEAVES and not dropped:
+        if not inline and tag not in LEAVES:
             containers.append(now)
     rest = html[at:]
     say(rest[: rest.rfind("<")] if re.search(r"<[/a-zA-Z!?][^>]*\Z", rest) else rest)
-    if not marked:
-        return blocks, containers
-    read = read_again(blocks, marked)
-
-    def is_read(element: Element) -> bool:
-        mark = element.mark
-        while mark is not None and id(mark) in read:
-            mark = mark.up.mark if mark.up is not None else None
-        return mark is None
-
-    return [b for b in blocks if is_read(b.element)], [e for e in containers if is_read(e)]
+    close_to(root)
+    root.last = len(blocks)
+    return Page(blocks, containers, paths), marked, dropped
 
 
 def clean(block: Block) -> str:
@@ -303,11 +415,11 @@ def holder(element: Element | None) -> Element | None:
     return element if element is not None and element.up is not None else None
 
 
-def best_container(blocks: list[Block], containers: list[Element], allowed: set[str] | None = None) -> Element | None:
+def best_container(page: Page, allowed: set[int | None] | None = None) -> Element | None:
     """The container with the highest score, not widened; ties to the first.  ``allowed`` limits the paths."""
-    for element in containers:
+    for element in page.containers:
         element.score = 0.0
-    for block in blocks:
+    for block in page.blocks:
         text = "".join(block.text)
         gain = max(0.0, len(text) - 2.0 * block.linked)
         element = holder(block.element)
@@ -316,21 +428,18 @@ def best_container(blocks: list[Block], containers: list[Element], allowed: set[
             gain /= 2
             element = holder(element.up)
     weight = {"article": 3.0, "main": 2.5}
-    chosen = [e for e in containers if e.score > 0 and (allowed is None or e.path in allowed)]
+    chosen = [e for e in page.containers if e.score > 0 and (allowed is None or e.path in allowed)]
     return max(chosen, key=lambda e: e.score * weight.get(e.tag, 1.0), default=None)
 
 
-def below(element: Element | None, above: Element) -> Element | None:
-    """The child of ``above`` that an element lies in, the element itself if that is ``above``; None if outside."""
-    child = element
-    while element is not None:
-        if element is above:
-            return child
-        child, element = element, element.up
-    return None
+def below(element: Element, above: Element) -> Element:
+    """The child of ``above`` that an element in it lies in, the element itself if that is ``above``."""
+    while element is not above and element.up is not above:
+        element = element.up
+    return element
 
 
-def widened(best: Element, blocks: list[Block]) -> tuple[Element, list[Block]]:
+def widened(best: Element, page: Page) -> tuple[Element, list[Block]]:
     """The container around ``best`` that holds the whole text, and blocks beside it that are text, too.
 
     It climbs while all else in the container above is text: what isn't mostly
@@ -340,20 +449,24 @@ def widened(best: Element, blocks: list[Block]) -> tuple[Element, list[Block]]:
     body's, those that are text are taken in alone.
     """
     at, beside = best, []
-    said = [(b, len(t), min(b.linked, len(t))) for b in blocks if (t := clean(b))]
-    least = BESIDE * sum(n - linked for b, n, linked in said if inside(b.element, best))
+
+    def said(first: int, last: int) -> list[tuple[Block, int, int]]:
+        return [(b, len(t), min(b.linked, len(t))) for b in page.between(first, last) if (t := clean(b))]
+
+    least = BESIDE * sum(n - linked for _, n, linked in said(best.first, best.last))
+    top = best
+    while top.up is not None:
+        top = top.up
     while at.tag not in ("html", "body", "main"):
-        outer = [at]
-        while outer[-1].up is not None:
-            outer.append(outer[-1].up)
-        if at.tag == "article" and all(e.tag != "main" for e in outer):
+        if at.tag == "article" and not at.in_main:
             break
-        above = holder(at.up) or outer[-1]
+        above = holder(at.up) or top
         parts: dict[int, list[tuple[Block, int, int]]] = {}
-        for b, n, linked in said:
-            if (child := below(b.element, above)) is not None and not inside(b.element, at):
-                # Blocks that stand in ``above`` itself are parts of their own.
-                parts.setdefault(id(b) if child is above else id(child), []).append((b, n, linked))
+        # What lies in the container above, but not in this one, is met at this step only.
+        for b, n, linked in said(above.first, at.first) + said(at.last, above.last):
+            child = below(b.element, above)
+            # Blocks that stand in ``above`` itself are parts of their own.
+            parts.setdefault(id(b) if child is above else id(child), []).append((b, n, linked))
         parts = {k: v for k, v in parts.items() if any(b.element.tag not in HEADINGS for b, _, _ in v)}
         whole = above.up is not None and above.tag not in ("html", "body")
 
@@ -362,7 +475,7 @@ def widened(best: Element, blocks: list[Block]) -> tuple[Element, list[Block]]:
             return 4 * linked <= size and any(n >= PARAGRAPH for b, n, _ in part if b.element.tag not in HEADINGS) and (whole or size - linked >= least)
 
         texts = [v for v in parts.values() if is_text(v)]
-        marked = at.tag != "article" and any(e.tag in ("article", "main") for e in outer[1:])
+        marked = at.tag != "article" and (at.up.in_article or at.up.in_main)
         loose = marked and 2 * sum(x for v in parts.values() for _, _, x in v) < sum(n for v in parts.values() for _, n, _ in v)
         if whole and best is at and (loose or len(texts) == len(parts)):
             best, beside = above, []
@@ -374,42 +487,31 @@ def widened(best: Element, blocks: list[Block]) -> tuple[Element, list[Block]]:
     return best, beside
 
 
-def inside(element: Element | None, container: Element) -> bool:
-    while element is not None:
-        if element is container:
-            return True
-        element = element.up
-    return False
-
-
 def vote(html: str | None) -> str | None:
     """The path of a page's best container."""
     if not html:
         return None
-    blocks, containers = blocks_of(html)
-    best = best_container(blocks, containers)
-    return widened(best, blocks)[0].path if best else None
+    page = page_of(html)
+    best = best_container(page)
+    return path_of(widened(best, page)[0]) if best else None
 
 
 def extract(html: str | None, winners: list[str] | None) -> str:
     """A page's main text, a line per block."""
     if not html:
         return ""
-    blocks, containers = blocks_of(html)
-    best = (best_container(blocks, containers, set(winners)) if winners else None) or best_container(blocks, containers)
+    page = page_of(html)
+    blocks = page.blocks
+    best = (best_container(page, {*map(page.path_of, winners)}) if winners else None) or best_container(page)
     if best is not None:
-        best, beside = widened(best, blocks)
-        within = {id(e) for e in containers if e.path == best.path}
-        taken = {id(b) for b in beside}
-
-        def kept(element: Element | None) -> bool:
-            while element is not None:
-                if id(element) in within:
-                    return True
-                element = element.up
-            return False
-
-        blocks = [b for b in blocks if id(b) in taken or kept(b.element)]
+        best, beside = widened(best, page)
+        taken = {b.place for b in beside}
+        upto = 0
+        for e in page.containers:  # in page order, so one inside another begins no earlier
+            if e.path == best.path and e.last > upto:
+                taken.update(b.place for b in page.between(max(e.first, upto), e.last))
+                upto = e.last
+        blocks = [b for b in blocks if b.place in taken]
     return "\n".join(text for b in blocks if (text := clean(b)))
 
 

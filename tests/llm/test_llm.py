@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import time
 import zlib
 from array import array
 
@@ -405,3 +406,46 @@ def test_pipeline(spark, sf_dir):
     sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in texts.items() for w in [t.lower().split()]}
     ids = sorted(sets)
     assert not any(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a in ids for b in ids if a < b)
+
+
+ARTICLE = "A sentence of the article itself. " * 12
+
+
+@pytest.mark.parametrize("tag", ["form", "header", "aside", "fieldset", "nav"])
+def test_tags_around_the_page_drop_no_article(tag):
+    inner = f"<nav>Menu</nav><div class=c><h1>Title</h1><p>{ARTICLE}</p></div><footer>Foot</footer>"
+    got = html.extract(f"<html><body><{tag} id=f1>{inner}</{tag}></body></html>", None)
+    assert got == f"Title\n{ARTICLE.strip()}"
+    nested = html.extract(f"<body><form><header>{inner}</header></form></body>", None)
+    assert nested == got
+    beside = f"<body><div class=c><h1>Title</h1><p>{ARTICLE}</p></div><{tag}><p>Name, mail and message</p></{tag}></body>"
+    assert html.extract(beside, None) == got
+
+
+@pytest.mark.parametrize("tag", ['<a title="5" screen">', "<a title=it's>", "<a x=1'>", "<a href=''b'>", '<a =">', "<a b = 'x > y'>", "<a b=>", "<a/b//>"])
+def test_quotes_as_in_html(tag):
+    assert html.extract(f"<div><p>see {tag}link</a> here</p><p>tail</p></div>", None) == "see link here\ntail"
+
+
+def test_formulas_stand_in_their_block():
+    formula = "<math><mi>E</mi><mo>=</mo><msup><mi>c</mi><mn>2</mn></msup><annotation>E=c^2</annotation></math>"
+    assert html.extract(f"<div><p>Energy is {formula} here.</p></div>", None) == "Energy is E=c2 here."
+
+
+@pytest.mark.parametrize("step", ["<div>", "<div>x", "<div class=a/b><p>y", "<section></b>", "<div></span>"])
+def test_deep_pages_take_time_in_proportion(step):
+    def seconds(n):
+        start = time.perf_counter()
+        html.extract(step * n + ARTICLE, None)
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(20_000) < 2.0
+
+
+def test_pages_in_a_table(spark):
+    rows = [(1, None, f"<div><p>{ARTICLE}</p></div>", "c"), (1, None, f"<div><p>{ARTICLE}</p></div>", "c"), (None, "::", None, "c"), (2, "http://a.b/", "<div>" * 3000 + ARTICLE, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, paths string")
+    got = html.main_texts(pages, html.host_of(F.col("url"))).collect()
+    assert sorted(len(r.main_text) for r in got) == [0] + 3 * [len(ARTICLE.strip())] and {r.paths for r in got} == {"c", None}
+    assert html.main_texts(pages.limit(0), html.host_of(F.col("url"))).count() == 0
