@@ -194,9 +194,9 @@ def grams(pieces: list[str]) -> np.ndarray:
 
 
 def evidence(docs: list[np.ndarray], toxic: np.ndarray, words: list[str]) -> np.ndarray:
-    """Per word how much its most telling character sequence is bound to toxic documents (signed likelihood ratio)."""
+    """Per piece how much its most telling character sequence is bound to toxic documents (signed likelihood ratio)."""
     step = 10_000
-    parts = [grams([f"^{w[: PIECE - 2]}$".ljust(PIECE, "\0") for w in words[i : i + step]]) for i in range(0, len(words), step)]
+    parts = [grams([w.ljust(PIECE, "\0") for w in words[i : i + step]]) for i in range(0, len(words), step)]
     ids = np.concatenate(parts)
     size = 1 << 21
     seen = np.zeros((2, size), np.int64)
@@ -217,10 +217,11 @@ def evidence(docs: list[np.ndarray], toxic: np.ndarray, words: list[str]) -> np.
 
 
 def inserted(word: str, rng: np.random.Generator) -> str:
-    """The word with a character between all or some of its letters."""
+    """The piece with a character between all or some of its letters, as far as a piece reaches."""
+    head, word, tail = word[: word.startswith("^")], word.strip("^$"), word[len(word) - word.endswith("$") :]
     mark = ".*-_~"[int(rng.integers(5))]
     everywhere = rng.random() < 0.5
-    return "".join(c + (mark if everywhere or rng.random() < 0.3 else "") for c in word[:-1]) + word[-1:]
+    return (head + "".join(c + (mark if everywhere or rng.random() < 0.3 else "") for c in word[:-1]) + word[-1:] + tail)[:PIECE]
 
 
 def machine(features: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -284,14 +285,17 @@ def logistic_curve(values: np.ndarray, labels: np.ndarray) -> tuple[float, float
 
 
 def fit(rows: Iterable[tuple[int, list[str]]]) -> Model | None:
-    """The model of documents given as (label, distinct tokens), in any order; None if one label is missing."""
+    """The model of documents given as (label, distinct tokens), in any order; None if one label is missing.
+
+    What is learned from are the pieces of the tokens (``units``), those that are scored.
+    """
     rng = np.random.default_rng(7)
     number: dict[str, int] = {}
     read = []
     for label, tokens_of_row in rows:
-        forms = {f for w in tokens_of_row for f in {_outside("", w), _not_letters("", w)} if len(f) >= 3}
-        read.append((label, np.array([number.setdefault(f, len(number)) for f in forms], np.int32)))
-    # Numbers by the words' order, documents by their words: the same whatever the order of the rows.
+        own = {p for w in tokens_of_row for p in units(w)}
+        read.append((label, np.array([number.setdefault(p, len(number)) for p in own], np.int32)))
+    # Numbers by the pieces' order, documents by their words: the same whatever the order of the rows.
     words = sorted(number)
     place = np.empty(len(words), np.int32)
     place[[number[w] for w in words]] = np.arange(len(words))
@@ -300,7 +304,7 @@ def fit(rows: Iterable[tuple[int, list[str]]]) -> Model | None:
     toxic, docs = np.array([label for label, _ in read], int), [d for _, d in read]
     if not 0 < toxic.sum() < len(toxic):
         return None
-    pieces = [f"^{w}$"[:PIECE] for w in words]
+    pieces = words
     bound = evidence(docs, toxic, words)
     bad_docs = [d for d, t in zip(docs, toxic) if t and len(d)]
     clean_words = np.unique(np.concatenate([d for d, t in zip(docs, toxic) if not t] or [np.empty(0, int)]))
@@ -325,8 +329,8 @@ def fit(rows: Iterable[tuple[int, list[str]]]) -> Model | None:
         positive = [i for i, _ in counts][: NEGATIVES // 2]
         negative = np.unique(np.concatenate([chosen_clean, mined]))
         negative = negative[~np.isin(negative, positive) | np.isin(negative, mined)]
-        varied = [f"^{inserted(words[i], rng)}$"[:PIECE] for i in positive[:500] for _ in range(2)]
-        harmless = [f"^{inserted(words[i], rng)}$"[:PIECE] for i in negative[:1000]]
+        varied = [inserted(words[i], rng) for i in positive[:500] for _ in range(2)]
+        harmless = [inserted(words[i], rng) for i in negative[:1000]]
         landmarks = [
             pieces[i] for i in (*positive[: LANDMARKS // 2], *hardest[: LANDMARKS * 3 // 8], *rng.permutation(negative)[: LANDMARKS // 8])
         ]
