@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 PAGE_ROWS, BLOCK_ROWS = 16_384, 4_096
-LEAF, FANOUT = 128, 8
+LEAF, FANOUT = 512, 8
 SCALE = 256
 RESULT = "query_id long, asked long, vec_id long, score long, beyond string"
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -53,7 +53,7 @@ OFFSET = 10**700
 class Node:
     """A page of the tree; leaves hold rows, inner pages their children and the children's routing data."""
 
-    rows: np.ndarray | None  # of a leaf, farthest from the routing vector first
+    rows: slice | None  # of a leaf, farthest from the routing vector first
     children: list[Node]
     routing: np.ndarray  # of the children
     radius: np.ndarray
@@ -78,16 +78,22 @@ def split(vectors: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> li
     return parts if len(parts) > 1 else np.array_split(rows, -(-len(rows) // LEAF))  # equal vectors: any cut will do
 
 
-def build(vectors: np.ndarray, rows: np.ndarray, rng: np.random.Generator, center: np.ndarray) -> Node:
+def build(vectors: np.ndarray, rows: np.ndarray, rng: np.random.Generator, center: np.ndarray, order: list[np.ndarray], at: int = 0) -> Node:
+    """The tree of some rows; its leaves are ranges of ``order``, from ``at`` on."""
     if len(rows) <= LEAF:
         distance = np.sqrt(((vectors[rows] - center) ** 2).sum(1))
-        order = np.argsort(-distance, kind="stable")
-        return Node(rows[order], [], np.empty(0), np.empty(0), distance[order])
+        farthest = np.argsort(-distance, kind="stable")
+        order.append(rows[farthest])
+        return Node(slice(at, at + len(rows)), [], np.empty(0), np.empty(0), distance[farthest])
     parts = split(vectors, rows, rng)
     routing = np.array([vectors[p].mean(0) for p in parts])
     radius = np.array([np.sqrt(((vectors[p] - c) ** 2).sum(1).max()) for p, c in zip(parts, routing)])
     to_parent = np.sqrt(((routing - center) ** 2).sum(1))
-    return Node(None, [build(vectors, p, rng, c) for p, c in zip(parts, routing)], routing, radius, to_parent)
+    children = []
+    for p, c in zip(parts, routing):
+        children.append(build(vectors, p, rng, c, order, at))
+        at += len(p)
+    return Node(None, children, routing, radius, to_parent)
 
 
 def whole(parts: np.ndarray) -> np.ndarray:
@@ -108,10 +114,13 @@ class MTree:
         self.scored = 0  # rows whose score was computed, over all searches
         every = np.arange(len(ids))
         self.center = np.zeros(self.width)
-        self.root = self.all = Node(every, [], np.empty(0), np.empty(0), np.full(len(ids), np.inf))
+        self.root = self.all = Node(slice(0, len(ids)), [], np.empty(0), np.empty(0), np.full(len(ids), np.inf))
         if len(ids) and self.peak < VAST:
             self.center = self.vectors.mean(0)
-            self.root = build(self.vectors, every, np.random.default_rng(1), self.center)
+            dealt: list[np.ndarray] = []
+            self.root = build(self.vectors, every, np.random.default_rng(1), self.center, dealt)
+            place = np.concatenate(dealt)
+            self.ids, self.vectors = self.ids[place], self.vectors[place]
             self.longest = float(np.sqrt((self.vectors**2).sum(1).max()))
 
     def _form(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,14 +156,17 @@ class MTree:
                 break
             if node.rows is not None:
                 # Farthest first: what lies beyond this place is too near the routing vector to score enough.
-                n = len(node.rows) if least == -np.inf else int((score + length * node.to_parent + slack >= least).sum())
-                ids = self.ids[node.rows[:n]]
-                scores = rows[node.rows[:n]] @ exact_query
+                n = len(node.to_parent)
+                if least > -np.inf:
+                    n = int((score + length * node.to_parent + slack >= least).sum())
+                own_rows = slice(node.rows.start, node.rows.start + n)
+                ids, scores = self.ids[own_rows], rows[own_rows] @ exact_query
                 self.scored += n
-                for s, i in zip(scores.tolist(), ids.tolist()):
+                keep = ids != own if own is not None else np.ones(n, bool)
+                if len(best) == k:
+                    keep &= scores >= best[0][0]
+                for s, i in zip(scores[keep].tolist(), ids[keep].tolist()):
                     item = (int(s), -i)
-                    if i == own:
-                        continue
                     if len(best) < k:
                         heapq.heappush(best, item)
                     elif item > best[0]:
