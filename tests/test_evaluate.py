@@ -127,3 +127,21 @@ def test_metric_floors_on_own_corpus(spark):
     assert spans["CREDIT_CARD"].fn == 1
     assert done.sentence.first().accuracy > 0.95
     assert spans["ALL"].precision > 0.6 and spans["ALL"].recall > 0.7
+
+
+def test_long_tables_are_not_sent_through_the_driver(spark):
+    """Generated rows look few to the planner; no join of them may broadcast a side."""
+    sentences = spark.range(40).select(
+        F.expr("inline(array(named_struct('sent_id', id * 2, 'text', concat('a', id)), named_struct('sent_id', id * 2 + 1, 'text', 'b')))")
+    )
+    gold = sentences.where("sent_id % 3 = 0").select("sent_id", F.expr("0 AS start"), F.expr("1 AS `end`"), F.lit("EMAIL").alias("category"))
+    found = sentences.where("sent_id % 2 = 0").select(
+        "sent_id", F.expr("0 AS start"), F.expr("1 AS `end`"), F.lit("EMAIL").alias("entity_type"),
+        F.expr("substring(text, 1, 1) AS original_text"), F.lit(0.5).alias("score"),
+    )
+    counts = {}
+    for name in ("false_positives", "false_negatives", "sentence_flags"):
+        made = getattr(ev, name)(sentences, gold, found)
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString(), name
+        counts[name] = made.count()
+    assert counts == {"false_positives": 26, "false_negatives": 13, "sentence_flags": 80}
