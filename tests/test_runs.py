@@ -185,3 +185,22 @@ def test_merged_sketches_equal_one_sketch(spark):
     for name, exact in (("originals", 40_000), ("replacements", 20_000)):
         assert abs(merged[name] - exact) <= merged["error"] * exact
     assert abs(merged["ratio"] - 0.5) < 0.03
+
+
+def test_streamed_mapping_reads_no_half_in_one_task(spark, sf_dir, monkeypatch):
+    """The arriving files are written by the tasks that read the documents, not gathered into one."""
+    from pyspark.sql import DataFrame
+    from inkveil.checks import catalog
+
+    gathered = []
+    plain = DataFrame.coalesce
+    monkeypatch.setattr(DataFrame, "coalesce", lambda self, n: gathered.append(n) or plain(self, n))
+    catalog.QUERIES["M2_streamed_mapping"](spark, sf_dir)
+    assert gathered == []
+
+
+def test_distinct_ratio_detects_once(spark, sf_dir):
+    from inkveil.checks import catalog
+
+    plan = catalog.QUERIES["G_DIST_distinct_ratio"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
