@@ -15,18 +15,6 @@ def _salt(many: DataFrame, keys: Sequence[str], salts: int) -> Column:
     return F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int") if others else F.lit(0)
 
 
-def spread_join(many: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:
-    """Inner or left join to a side that is small beside ``many`` but too large
-    to broadcast: every row of it is repeated once per salt.
-
-    Unlike ``salted_join`` this reads ``many`` once.
-    """
-    keys = list(keys)
-    left = many.withColumn("salt_", _salt(many, keys, salts))
-    right = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "salt_"], how).drop("salt_")
-
-
 def salted_join(many: DataFrame, one: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join of ``many`` rows to ``one`` row per key.
 

@@ -246,6 +246,27 @@ def test_phrase_trie(spark, monkeypatch, limits):
     assert dictionary.grams_on_prefixes(rows, phrases, ["i"], "text").count() < 2 * on_prefixes
 
 
+def test_trie_moves_keys_and_confirms_words(spark, monkeypatch):
+    """What crosses exchanges has a fixed size per sequence; where keys collide, the words decide."""
+    for name in ("INLINE_PHRASES", "BROADCAST_PHRASES", "BROADCAST_PREFIXES"):
+        monkeypatch.setattr(dictionary, name, 0)
+    rows = spark.createDataFrame([(1, "old fish quay, new Fish market"), (2, "fish"), (2, "quay fish"), (None, "x quay")], "i int, text string")
+    phrases = dictionary.normalized(spark.createDataFrame([("fish", "ORG"), ("fish market", "ORG"), ("old fish quay", "GPE")], "phrase string, entity_type string"))
+    assert dictionary.grams_on_prefixes(rows, phrases, ["i"], "text").dtypes == [("i", "int"), ("at", "int"), ("n", "int"), ("gram", "bigint")]
+
+    def found():
+        named = dictionary.joined_mentions(rows, phrases, ["i"]).collect()
+        return sorted((r.text, m.original_text, m.start) for r in named for m in r.mentions)
+
+    expected = [
+        ("fish", "fish", 0), ("old fish quay, new Fish market", "Fish", 19), ("old fish quay, new Fish market", "Fish market", 19),
+        ("old fish quay, new Fish market", "fish", 4), ("old fish quay, new Fish market", "old fish quay", 0), ("quay fish", "fish", 5),
+    ]
+    assert found() == expected
+    monkeypatch.setattr(dictionary, "_gate", lambda words, n: f"xxhash64({n})")
+    assert found() == expected
+
+
 def test_hot_dictionary_phrase(spark, monkeypatch):
     """A phrase that makes up most rows goes through the salted join whole."""
     monkeypatch.setattr(dictionary, "INLINE_PHRASES", 0)
