@@ -123,6 +123,17 @@ def _paragraphs(content: bytes) -> Iterator[tuple[str, str]]:
                 yield f"table[{t}][{r},{c}]", _text(paragraph)
 
 
+# Rows of a batch that Python holds as objects at a time.
+SLICE_ROWS = 64
+
+
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, few at a time, so that the objects made of them do not grow with Arrow's batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["path", "para_id", "context", "text", "error"]
     types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]

@@ -3,6 +3,9 @@
 import io
 import zipfile
 
+import pyarrow as pa
+
+from inkveil.checks import catalog
 from inkveil.functions import fixed_values as fixed
 from inkveil.operators.summaries import distinct_values
 from inkveil.sources import paragraphs as par, uploads
@@ -56,3 +59,14 @@ def test_broken_files_give_error_rows(spark, monkeypatch):
 def test_values_are_stripped_of_any_white_space(spark):
     df = spark.createDataFrame([(1, " Oslo\t", "ADDRESS"), (2, " Oslo", "ADDRESS")], "i int, original_text string, entity_type string")
     assert [tuple(r) for r in distinct_values(df, ["i"]).collect()] == [("Oslo", "ADDRESS", 2)]
+
+
+def test_word_files_are_packed_few_at_a_time():
+    """However many rows Arrow hands over, few of them are held as Python objects."""
+    n = 5 * uploads.SLICE_ROWS + 3
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": ["a\nb"] * n, "lang": ["en"] * n, "source": ["web"] * n})
+    packed = list(catalog._pack(iter([rows, rows.slice(0, 0)])))
+    assert [p for b in packed for p in b.column(0).to_pylist()] == [f"in/{i}.docx" for i in range(n)]
+    assert max(b.num_rows for b in packed) <= uploads.SLICE_ROWS
+    read = [r for b in uploads._read_batches(iter(packed)) for r in b.to_pylist()]
+    assert len(read) == 4 * n and all(r["error"] is None for r in read)
