@@ -51,3 +51,57 @@ def test_scorer_forgets_within_its_bound(monkeypatch):
         got.append(score)
         assert scorer.held <= 9000
     assert np.allclose(got, wanted)
+
+
+def brute_force(sets: list[set]) -> dict[int, int]:
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return dict(enumerate(root))
+
+
+@pytest.mark.parametrize("block, common", [(256, 3), (4, 1), (256, 10**6)])
+def test_variants_of_one_text_are_not_compared_with_each_other(spark, monkeypatch, block, common):
+    """Many texts around a much-copied one: those that are no links are few candidates, those that are links are found."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "COMMON", common, raising=False)
+    monkeypatch.setattr(near, "COMMON_SHARE", 1, raising=False)
+    chance = random.Random(7)
+    base = [f"w{k}" for k in range(150)]
+    texts = [base, *(base[:k] for k in (149, 120, 114, 112, 90, 84, 70, 4, 3) if common != 3)]
+    for i in range(140):
+        text = list(base)
+        for k in chance.sample(range(150), chance.choice((2, 3, 9, 10, 11))):
+            text[k] = f"x{i}y{k}"
+        texts += [text, [*text[:-3], f"z{i}"]] if i % 20 == 0 else [text]
+    chance.shuffle(texts)
+    asked, verified = [], near._verified
+    monkeypatch.setattr(near, "_verified", lambda pairs, *tables: asked.append(pairs.count()) or verified(pairs, *tables))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    assert {r.doc_id: r.component_id for r in near.near_duplicates(docs).collect()} == brute_force(sets)
+    if common == 3:
+        assert asked[1] < 3 * len(texts)
+
+
+def test_sets_that_may_link_share_a_value_of_their_prefixes(spark, monkeypatch):
+    """Each linked pair of nodes in different components is a candidate, whatever is marked as common."""
+    monkeypatch.setattr(near, "COMMON_SHARE", 2)
+    chance = random.Random(8)
+    texts = []
+    for _ in range(30):
+        text = [f"v{chance.randrange(60)}" for _ in range(chance.choice((1, 4, 6, 9, 30, 60)))]
+        texts.append(text)
+        for _ in range(4):
+            near_it = list(text)
+            near_it[chance.randrange(len(text))] = "new"
+            texts.append(near_it[chance.randrange(3) :] or text)
+    sets = [frozenset(tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))) for t in texts]
+    linked = {(a, b) for b in range(len(texts)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(linked) > 50
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "node long, text string")
+    alone = spark.createDataFrame([(i, i, 1) for i in range(len(texts))], "node long, component long, weight long")
+    assert linked <= {tuple(r) for r in near.across(alone, rows).collect()}
