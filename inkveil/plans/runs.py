@@ -22,7 +22,7 @@ reads only runs that have one, so nobody sees half a run.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -126,17 +126,36 @@ def redaction_run(
         sinks.remove(spark, staging)
 
 
-def redact_uploads(files: DataFrame, folder: str, run: str, rejected: DataFrame | None = None, **options) -> None:
+def redact_uploads(
+    files: DataFrame | Iterable[DataFrame], folder: str, run: str, rejected: DataFrame | None = None, **options
+) -> None:
     """One run over uploaded files (``path, length, content``): checked, read, redacted, logged, the rest in quarantine.
 
     ``rejected(path, reason)`` are files that were turned away before.  What
-    fails by its first bytes, or can't be read, is told while it is read.
+    fails by its first bytes, or can't be read, is told while it is read.  Files
+    may come in parts: each is read before the next is asked for, and the
+    paragraphs are redacted together.
     """
+    if isinstance(files, DataFrame):
+        redaction_run(_read(files), ["path"], folder, run, quarantine=rejected, **options)
+        return
+    staging = None
+    try:
+        for paragraphs in map(_read, files):
+            staging = staging or sinks.shared_folder(paragraphs.sparkSession, f"read-{run}")
+            paragraphs.write.mode("append").parquet(staging)
+        staged = paragraphs.sparkSession.read.schema(uploads.PARAGRAPHS).parquet(staging)
+        redaction_run(staged, ["path"], folder, run, quarantine=rejected, **options)
+    finally:
+        if staging:
+            sinks.remove(paragraphs.sparkSession, staging)
+
+
+def _read(files: DataFrame) -> DataFrame:
+    """Paragraphs of the files that pass by name and length, a row with ``error`` for each of the others."""
     fit, failed = uploads.sorted_by_name(files)
-    quarantine = failed.select("path", "reason")
-    if rejected is not None:
-        quarantine = quarantine.unionByName(rejected.select("path", "reason"))
-    redaction_run(uploads.docx_paragraphs(fit), ["path"], folder, run, quarantine=quarantine, **options)
+    refused = failed.select("path", F.col("reason").alias("error")).coalesce(uploads.STATUS_TASKS)
+    return uploads.docx_paragraphs(fit).unionByName(refused, allowMissingColumns=True)
 
 
 def redact_upload_folder(spark: SparkSession, directory: str, folder: str, run: str, **options) -> None:

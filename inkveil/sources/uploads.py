@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkveil.functions import fixed_values as fixed
@@ -21,23 +22,63 @@ PARAGRAPHS = "path string, para_id int, context string, text string, error strin
 
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
+LISTED = "path string, length bigint"
+# Tasks that look at names and lengths; the file source would make one for every few files, and the driver keeps a record of each.
+STATUS_TASKS = 64
 
 
-def read_uploads(spark: SparkSession, directory: str, names: str = "*") -> DataFrame:
-    """``path, modificationTime, length, content`` of all files below a directory, of those alone whose name fits ``names``."""
+def read_uploads(spark: SparkSession, directory: str, names: str = "*", missing: str = "fail") -> DataFrame:
+    """``path, modificationTime, length, content`` of all files below a directory, of those alone whose name fits ``names``.
+
+    With ``missing="ignore"`` a file that is removed after it was listed is left out.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names)
-    return reader.load(directory)
+    return (reader.option("ignoreMissingFiles", "true") if missing == "ignore" else reader).load(directory)
+
+
+def literal(path: str) -> str:
+    """``path`` as a pattern that fits it alone: readers take paths as patterns."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
 def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The same of the files listed.  Paths are patterns to the reader, so special characters are escaped."""
-    return spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", path) for path in paths])
+    """``path, modificationTime, length, content`` of the files listed."""
+    return spark.read.format("binaryFile").load([literal(path) for path in paths])
 
 
-def arriving_uploads(spark: SparkSession, directory: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream of ``path, length`` of files dropped below a directory; their content stays unread."""
-    stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
-    return stream.option("maxFilesPerTrigger", files_per_batch).load(directory).select("path", "length")
+def announce(spark: SparkSession, directory: str, lists: str, files_per_list: int) -> None:
+    """Write lists of the files below ``directory`` that no list in ``lists`` names yet, oldest first.
+
+    A list is one Parquet file of ``path, length`` of at most ``files_per_list``
+    files.  It appears whole, and what is listed is told from the lists
+    themselves, so an attempt that ends between two of them loses and doubles
+    nothing.  Content stays unread.
+    """
+    try:
+        found = read_uploads(spark, directory, missing="ignore").select("path", "length", "modificationTime")
+    except AnalysisException as e:  # nobody has dropped a file yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return
+    known = spark.read.schema(LISTED).parquet(literal(lists)).select("path")
+    new = found.join(known, "path", "left_anti").coalesce(STATUS_TASKS).persist()
+    try:
+        if not new.isEmpty():
+            ordered = new.repartition(1).sortWithinPartitions("modificationTime", "path").select("path", "length")
+            ordered.write.mode("append").option("maxRecordsPerFile", files_per_list).parquet(lists)
+    finally:
+        new.unpersist()
+
+
+def arriving_uploads(spark: SparkSession, lists: str) -> DataFrame:
+    """A stream of ``path, length`` of announced files, a list per micro-batch.
+
+    The stream's own files are the lists.  Were they the uploads, the file source
+    would repeat all names of a micro-batch for each name that looks like a
+    pattern, and list and schedule each file from the driver.
+    """
+    stream = spark.readStream.schema(LISTED).option("maxFilesPerTrigger", 1).option("maxFileAge", "36500d")
+    return stream.parquet(lists)
 
 
 def _reason_by_name() -> Column:

@@ -1,6 +1,7 @@
 """Runs with a commit record: one detection, no half runs, streams of uploads that fail between two outputs."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import DataFrameWriter, functions as F
@@ -12,6 +13,7 @@ from inkveil.plans import redact as redact_plan, runs
 from inkveil.plans.redact import redact
 from inkveil.sources import sinks, uploads
 from inkveil.sources.paragraphs import body_paragraphs
+from inkveil.streaming import redact_stream
 from inkveil.streaming.redact_stream import redact_upload_stream
 
 TEXTS = ["Write to ana.bell@mail.example today", "Nothing here\nCall 212-555-0143 or ana.bell@mail.example", "", None]
@@ -128,6 +130,64 @@ def test_a_committed_batch_is_not_repeated(spark, tmp_path):
     assert runs.committed(spark, str(tmp_path / "out"), "redacted", REDACTED).count() == 1
 
 
+def drop(folder, names):
+    os.makedirs(folder, exist_ok=True)
+    for name in names:
+        with open(f"{folder}/{name}", "wb") as file:
+            file.write(_docx([f"Mail {name[0]}@mail.example"], []))
+
+
+def test_names_like_patterns_are_not_multiplied(spark, tmp_path):
+    """The file source repeats all paths of a micro-batch for each that looks like a pattern; 120 names gave 14,400."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    drop(folder, [f"{i} [a].DOCX" for i in range(120)])
+    query = redact_upload_stream(spark, folder, out, str(tmp_path / "check"), whole_documents=False)
+    query.awaitTermination()
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup(str(query.runId)) for s in status.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 120
+    assert runs.committed(spark, out, "redacted", REDACTED).count() == 120
+
+
+def test_a_micro_batch_is_read_in_parts(spark, tmp_path, monkeypatch):
+    folder, opened = str(tmp_path / "in"), []
+    drop(folder, [*(f"{i} [a].docx" for i in range(7)), "x.pdf"])
+    read = redact_stream.read_files
+    monkeypatch.setattr(redact_stream, "FILES_AT_A_TIME", 3)
+    monkeypatch.setattr(redact_stream, "read_files", lambda session, paths: opened.append(len(paths)) or read(session, paths))
+    redact_upload_stream(spark, folder, str(tmp_path / "out"), str(tmp_path / "check"), whole_documents=False).awaitTermination()
+    runs.redact_upload_folder(spark, folder, str(tmp_path / "batch"), "all", whole_documents=False)
+    assert opened == [3, 3, 1]
+    assert outputs(spark, str(tmp_path / "out"), "path string") == outputs(spark, str(tmp_path / "batch"), "path string")
+    one, all_ = (summaries(spark, str(tmp_path / name)).first() for name in ("out", "batch"))
+    assert one == all_ and one["total_paragraphs"] == 7
+
+
+def test_files_are_announced_once_and_while_the_stream_runs(spark, tmp_path):
+    folder, out, check = (str(tmp_path / name) for name in ("in", "out", "check"))
+    redact_upload_stream(spark, folder, out, check, 2).awaitTermination()  # nobody has made the folder yet
+    drop(folder, ["a.docx", "b.docx", "c.docx"])
+    redact_upload_stream(spark, folder, out, check, 2).awaitTermination()
+    lists = lambda: sorted(r["n"] for r in spark.read.parquet(f"{check}/arrivals").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect())
+    assert lists() == [1, 2]
+    query = redact_upload_stream(spark, folder, out, check, 2, {"processingTime": "0 seconds"}, list_every=0.1)
+    try:
+        drop(folder, ["d.docx"])
+        for _ in range(600):
+            if query.exception() or runs.committed(spark, out, "redacted", REDACTED).count() == 4:
+                break
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    assert lists() == [1, 1, 2] and runs.committed(spark, out, "redacted", REDACTED).count() == 4
+
+
+def test_a_checkpoint_without_lists_is_refused(spark, tmp_path):
+    os.makedirs(tmp_path / "check/sources/0")
+    with pytest.raises(ValueError, match="without lists"):
+        redact_upload_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
+
+
 def test_content_is_not_read_for_names_and_lengths(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(b"x")
     fit, failed = uploads.sorted_by_name(uploads.read_uploads(spark, str(tmp_path)))
