@@ -121,7 +121,7 @@ class PieceTable:
             for i, p in enumerate(model.pieces) if p.type != kinds.BYTE
         }
         shown = {i: s.replace(BLANK, " ") for i, s in self.texts.items()}
-        self.marked = shown | {i: chr(b if b < 128 else 0xDC00 + b) for b, i in self.bytes.items()}
+        self.marked = {i: s or ENDS for i, s in shown.items()} | {i: chr(b if b < 128 else 0xDC00 + b) for b, i in self.bytes.items()}
         letters = {c for s in normal for c in s}
         # Characters that occur in pieces without being one get numbers after all ids.
         self.letters = dict(enumerate(sorted(letters - normal.keys()), len(model.pieces)))
@@ -273,7 +273,8 @@ class PieceText:
 
     The state is whether the first piece has come, which loses the blank put
     before the text, and the at most three bytes of a character begun.  A byte
-    that belongs to no character gives U+FFFD.
+    that belongs to no character gives U+FFFD; a piece without text ends a
+    character begun.
     """
 
     def __init__(self, table: PieceTable):
@@ -286,20 +287,22 @@ class PieceText:
         if first is not None:
             self.begun = True
             if table.prefix and table.texts.get(first, "").startswith(BLANK):
-                text = text[1:]
+                text = text.replace(" ", "", 1)  # only pieces without text stand before it
         if self.pending:
             text, self.pending = self.pending + text, ""
         if HIGH.search(text):
             if tail := UNENDED.search(text):
                 text, self.pending = text[: tail.start()], tail[0]
             text = HIGH.sub(_characters, text)
-        return text
+        return text.replace(ENDS, "")
 
     def end(self) -> str:
         rest, self.pending = self.pending, ""
         return HIGH.sub(_characters, rest)
 
 
+# Stands for a piece without text until the characters are made.
+ENDS = "\udc00"
 # Bytes over 127 stand as lone surrogates until their characters are whole.
 HIGH = re.compile("[\udc80-\udcff]+")
 UNENDED = re.compile(

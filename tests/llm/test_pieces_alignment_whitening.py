@@ -42,6 +42,14 @@ def test_decoding_any_ids_in_steps(ids, step):
     assert "".join(parts) + machine.end() == LIBRARY.decode(ids)
 
 
+@pytest.mark.parametrize("step", [1, 2, 5])
+@pytest.mark.parametrize("ids", [[197, 1, 131], [1, 197, 2, 1, 131, 131], [1, 2, 450, 1, 450], [1, 230, 197, 133]])
+def test_a_piece_without_text_ends_a_character_begun(ids, step):
+    machine = pieces.PieceText(pieces.piece_table(PIECES))
+    parts = [machine.feed(array("I", ids[i : i + step])) for i in range(0, len(ids), step)]
+    assert "".join(parts) + machine.end() == LIBRARY.decode(ids)
+
+
 def test_every_piece_and_pairs_of_pieces():
     table, chance = pieces.piece_table(PIECES), random.Random(5)
     words = [LIBRARY.id_to_piece(i) for i in range(259, 32000)]
